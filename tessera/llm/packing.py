@@ -10,7 +10,10 @@ for their length by their rank among the pieces of that length.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -144,7 +147,20 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r\x20\x85\xA0  - 
 _COMPOSES = regex.compile("[^\0-\u02ff]")
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 #: Texts whose new words are looked up together.
-LEARN_ROWS = 64
+LEARN_ROWS = 128
+
+
+def _unassigned() -> str:
+    """A character class of the code points without a character: there, Unicode tables of libraries differ."""
+    out, start = [], None
+    for i in range(0x110001):
+        free = i < 0x110000 and unicodedata.category(chr(i)) == "Cn"
+        if free and start is None:
+            start = i
+        elif not free and start is not None:
+            out.append(f"\\U{start:08x}-\\U{i - 1:08x}")
+            start = None
+    return "[" + "".join(out) + "]"
 
 
 class WordTokenizer:
@@ -155,12 +171,17 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.compose = normalizers.NFC().normalize_str
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.tokenizer, self.whole):
+            t.no_truncation()
+            t.no_padding()
+        self.odd = re.compile(_unassigned())
+        # Words come to it normalized and split, so it need not do that again.
+        self.tokenizer.normalizer = normalizers.Sequence([])
+        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         spec = json.load(open(path, encoding="utf-8"))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -184,7 +205,7 @@ class WordTokenizer:
         parts = [self.words.findall(u) for u in units]
         new = list({p for own in parts for p in own if p not in self.pieces})
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.pieces[p] = np.array(e.ids, "<u4").tobytes()
+            self.pieces[p] = array("I", e.ids).tobytes()
         for u, own in zip(units, parts, strict=True):
             self.units[u] = b"".join(map(self.pieces.__getitem__, own))
 
@@ -194,15 +215,22 @@ class WordTokenizer:
     def batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text; null is empty."""
         for at in range(0, len(texts), LEARN_ROWS):
-            split = [[x if x in self.special else self._units(x) for x in self._sections(t or "")] for t in texts[at : at + LEARN_ROWS]]
-            wanted = {u for own in split for x in own if not isinstance(x, str) for u in x}
-            if missing := [u for u in wanted if u not in self.units]:
+            split = [[x if x in self.special or self._needs_whole(x) else self._units(x) for x in self._sections(t or "")] for t in texts[at : at + LEARN_ROWS]]
+            wanted: set[str] = set().union(*(x for own in split for x in own if not isinstance(x, str)))
+            if missing := wanted.difference(self.units):
                 full = len(self.units) + len(missing) > KEPT_WORDS
-                self._learn(list(wanted) if full else missing)
+                self._learn(list(wanted if full else missing))
             for own in split:
-                raw = b"".join(np.array([self.special[x]], "<u4").tobytes() if isinstance(x, str) else b"".join(map(self.units.__getitem__, x)) for x in own)
+                raw = b"".join(self._text(x) if isinstance(x, str) else b"".join(map(self.units.__getitem__, x)) for x in own)
                 yield np.frombuffer(raw, "<u4")
 
+    def _needs_whole(self, text: str) -> bool:
+        return bool(_COMPOSES.search(text) and self.odd.search(text))
+
+    def _text(self, text: str) -> bytes:
+        """The ids of a special token, or of a text that the library has to read as a whole."""
+        return array("I", [self.special[text]] if text in self.special else self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
 
 _LOADED: dict[str, WordTokenizer] = {}
 
