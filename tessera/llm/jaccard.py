@@ -5,12 +5,13 @@ shingles first. Two sets of similarity t share at least l of the first
 ``n - ceil(t * n) + l`` shingles of either, for any l. Each document chooses its own l
 by the estimated cost: a longer prefix means more postings, but a candidate must then
 share more of them. A pair becomes a candidate if it shares the smaller l of the two,
-and is verified on the full sets.
+and is verified on the full sets. Places count: a pair of sizes n and m needs more than
+``ceil(t * n)`` in common, so only the shingles before a place that follows from both sizes matter.
 
 Steps: (1) one pass over the texts gives the set's size and class (equal sets are one
 class) and a sketch of shingle counts over all documents; (2) a second pass gives
-postings of prefixes, one class once a task; (3) each posting list links its members
-to its first member only, which joins most groups of near copies in linear work; (4)
+postings of prefixes, one class once a task; (3) two rounds compare the members of each
+posting list with a few heads of it only, which joins most groups of near copies in linear work; (4)
 what is still in different components and shares enough is compared exactly, so no
 link is lost; (5) components. Only sets of candidates are shuffled for verification.
 """
@@ -36,6 +37,8 @@ FILTER_BITS = 22
 #: The largest number of shared prefix shingles a document may ask for, and the cost of a
 #: verification as posting reads for each shingle of the set.
 MOST_MATCHES, VERIFY_COST = 12, 0.1
+#: Heads of each list in the two rounds of stars.
+HEADS = (3, 6)
 #: Classes a task remembers to pass by copies; the memory is emptied when it is full.
 SEEN = 500_000
 
@@ -133,7 +136,9 @@ def choose_matches(df_counts: np.ndarray, n: int, num: int, den: int) -> int:
     return int(np.argmin(asked + read + read / asked * (VERIFY_COST * n))) + 1
 
 
-_POSTINGS = "token long, cls long, n int, matches int"
+#: ``place`` packs the shingle's place in the document's order with the matches it asks for.
+_POSTINGS = "token long, cls long, n int, place int"
+_PLACE_BITS = 4
 
 
 def _postings(docs: DataFrame, levels: Broadcast, shingle: int, num: int, den: int) -> DataFrame:
@@ -155,36 +160,31 @@ def _postings(docs: DataFrame, levels: Broadcast, shingle: int, num: int, den: i
                 tokens.append(prefix.view(np.int64))
                 cls.append(np.full(len(prefix), c, np.int64))
                 size.append(np.full(len(prefix), len(h), np.int32))
-                asked.append(np.full(len(prefix), matches, np.int32))
+                asked.append((np.arange(len(prefix), dtype=np.int32) << _PLACE_BITS) | np.int32(matches))
             if tokens:
                 cols = [pa.array(np.concatenate(x)) for x in (tokens, cls, size, asked)]
-                yield pa.RecordBatch.from_arrays(cols, ["token", "cls", "n", "matches"])
+                yield pa.RecordBatch.from_arrays(cols, ["token", "cls", "n", "place"])
 
     return docs.mapInArrow(run, _POSTINGS)
 
 
-_LIVE = "token long, cls long, n int, matches int, head long, head_n int, head_matches int"
-
-
 def _live(postings: DataFrame) -> DataFrame:
-    """Postings whose token another class has too, with the first class of their list."""
+    """Postings whose token another class has too, a class once a list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _LIVE.split(", ")]
+        names = [x.split()[0] for x in _POSTINGS.split(", ")]
         head = [np.empty(0, np.int64) for _ in range(4)]  # the first row of the list that may go on
         written, last = False, (None, None)  # whether that row is written; token and class of the last row
 
         def emit(new: list[np.ndarray]) -> pa.RecordBatch | None:
             nonlocal head, written, last
             t, c = new[0], new[1]
-            fresh = np.concatenate([[(t[0], c[0]) != last], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])  # a class once a list
+            fresh = np.concatenate([[(t[0], c[0]) != last], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])
             last = (t[-1], c[-1])
             t, c, n, m = (np.concatenate([h, x[fresh]]) for h, x in zip(head, new, strict=True))
-            start = np.concatenate([[True], t[1:] != t[:-1]])
-            first = np.flatnonzero(start)
-            which = np.cumsum(start) - 1
+            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             size = np.diff(np.append(first, len(t)))
-            live = size[which] > 1
+            live = np.repeat(size, size) > 1
             if written:
                 live[0] = False
             written = bool(size[-1] > 1) or (written and len(first) == 1)
@@ -192,16 +192,38 @@ def _live(postings: DataFrame) -> DataFrame:
             keep = np.flatnonzero(live)
             if not len(keep):
                 return None
-            at = first[which[keep]]
-            out = [t[keep], c[keep], n[keep].astype(np.int32), m[keep].astype(np.int32), c[at], n[at].astype(np.int32), m[at].astype(np.int32)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
+            return pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(c[keep]), pa.array(n[keep].astype(np.int32)), pa.array(m[keep].astype(np.int32))], names)
 
         for b in batches:
             got = emit([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]) if b.num_rows else None
             if got is not None:
                 yield got
 
-    return postings.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(run, _LIVE)
+    return postings.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(run, _POSTINGS)
+
+
+def _stars(lists: DataFrame, info: DataFrame, centre: bool, turns: list[int], num: int, den: int) -> DataFrame:
+    """Candidate pairs (a, b) of list members and heads of their lists: at most as many a member as a list has heads.
+
+    Class names are hashes, so the least of them under a turn (an exclusive or) is a random member.
+    The centre is the member whose prefix has the fewest shingles that nobody shares: what a group was copied from.
+    """
+    dead = F.least(F.col("n") - F.ceil(F.col("n") * num / den) + F.col("matches") - F.col("live"), F.lit(1023)).cast("long")
+    rows = lists.join(info.select("cls", F.when(dead < 0, 0).otherwise(dead).alias("dead")), "cls") if centre else lists.withColumn("dead", F.lit(0).cast("long"))
+    heads = [F.min(F.col("cls").bitwiseXOR(F.lit(t))).bitwiseXOR(F.lit(t)).alias(f"h{i}") for i, t in enumerate(turns)]
+    # The ten low bits of the name make room for the count; the rest is joined back as it is.
+    middle = F.min(F.shiftleft("dead", 53).bitwiseOR(F.shiftrightunsigned("cls", 10))).bitwiseAND(F.lit((1 << 53) - 1)).alias("middle")
+    of_list = rows.groupBy("token").agg(middle, *heads)
+    names = F.array_distinct(F.array(*[F.struct(F.lit(False).alias("cut"), F.col(f"h{i}").alias("head")) for i in range(len(turns))], *([F.struct(F.lit(True).alias("cut"), F.col("middle").alias("head"))] if centre else [])))
+    counted = lists.join(of_list, "token").select("cls", F.explode(names).alias("h")).groupBy("cls", "h").agg(F.count(F.lit(1)).alias("k"))
+    one = info.select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("matches").alias("am"), F.col("group").alias("ag"))
+    two = info.select(F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("matches").alias("bm"), F.col("group").alias("bg"))
+    whole = counted.where("not h.cut").select(F.col("cls").alias("a"), F.col("h.head").alias("b"), "k").join(two, "b")
+    part = counted.where("h.cut").select(F.col("cls").alias("a"), F.col("h.head").alias("head"), "k").join(two.withColumn("head", F.shiftrightunsigned("b", 10)), "head").drop("head")
+    both = whole.unionByName(part).join(one, "a") if centre else whole.join(one, "a")
+    fits = (F.col("an") * den >= F.col("bn") * num) & (F.col("bn") * den >= F.col("an") * num)
+    near = both.where((F.col("ag") != F.col("bg")) & (F.col("k") >= F.least("am", "bm")) & fits)
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _enough(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -287,20 +309,32 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle:
     levels = spark.sparkContext.broadcast(_levels(scan))
     live = cut(_live(_postings(docs, levels, shingle, num, den)))
 
-    fits = lambda a, b: (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
-    heads = live.where((F.col("cls") != F.col("head")) & fits("n", "head_n"))
-    stars = heads.groupBy(F.col("cls").alias("a"), F.col("head").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(F.least("matches", "head_matches")).alias("asked"))
-    linked = cut(_verified(docs, stars.where("k >= asked").select("a", "b"), classes, shingle, num, den))
-    groups = components(linked).select(F.col("id").alias("first"), F.col("component").alias("group"))
-    grouped = classes.join(groups, "first", "left").select("cls", F.coalesce("group", "first").alias("group"))
-
-    own = cut(live.select("token", "cls", "n", "matches").join(grouped, "cls"))
-    mixed = own.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token")
-    open_ = own.join(mixed, "token")
-    left = open_.select("token", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("matches").alias("am"), F.col("group").alias("ag"))
-    right = open_.select("token", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("matches").alias("bm"), F.col("group").alias("bg"))
-    across = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ag") != F.col("bg")) & fits("an", "bn"))
-    counted = across.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first(F.least("am", "bm")).alias("asked"))
+    sizes = live.groupBy("cls").agg(F.count(F.lit(1)).alias("live"), F.first("n").alias("n"), F.first(F.col("place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))).alias("matches"))
+    info = cut(sizes.join(classes, "cls").withColumn("group", F.col("first")))
+    lists, linked = live.select("token", "cls", F.shiftright("place", _PLACE_BITS).alias("at")), None
+    # Random members by turns of the 63-bit names.
+    turns = [(0x2545F4914F6CDD1D * (i + 1)) & ((1 << 63) - 1) for i in range(sum(HEADS))]
+    for turn, heads in enumerate(HEADS):
+        own = turns[sum(HEADS[:turn]) : sum(HEADS[: turn + 1])]
+        found = _verified(docs, _stars(lists, info, turn == 0, own, num, den), classes, shingle, num, den)
+        linked = cut(found if linked is None else found.union(linked))
+        groups = components(linked).select(F.col("id").alias("first"), F.col("component").alias("grp"))
+        info = cut(info.drop("group").join(groups, "first", "left").select("cls", "live", "n", "matches", "first", F.coalesce("grp", "first").alias("group")))
+        grouped = lists.join(info.select("cls", "group"), "cls")
+        mixed = grouped.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token")
+        lists = cut(lists.join(mixed, "token"))
+
+    # For a partner of m shingles, overlap is at least num * (n + m) / (num + den), and of the first n - overlap + l
+    # shingles l are shared. So a shingle further back serves for small partners only, and often for none in its list.
+    open_ = lists.join(info.select("cls", "n", "matches", "group"), "cls")
+    least = open_.groupBy("token").agg(F.min("n").alias("least"))
+    useful = cut(open_.join(least, "token").where((F.col("n") - F.col("at") - 1 + F.col("matches")) * (num + den) >= (F.col("n") + F.col("least")) * num).drop("least"))
+    side = lambda x: useful.select("token", F.col("cls").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "matches", "group", "at")])
+    fits = (F.col("a_n") * den >= F.col("b_n") * num) & (F.col("b_n") * den >= F.col("a_n") * num)
+    spare = F.least("a_matches", "b_matches") - F.ceil((F.col("a_n") + F.col("b_n")) * num / (num + den))
+    early = (F.col("a_at") < F.col("a_n") + spare) & (F.col("b_at") < F.col("b_n") + spare)
+    across = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("a_group") != F.col("b_group")) & fits & early)
+    counted = across.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first(F.least("a_matches", "b_matches")).alias("asked"))
     more = cut(_verified(docs, counted.where("k >= asked").select("a", "b"), classes, shingle, num, den))
 
     named = components(linked.union(more)).select(F.col("id").alias("first"), "component")
