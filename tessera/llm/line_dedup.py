@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import cut, prepare
 
 EDITS, MIN_CHARS = 1, 24
+#: Filters that go before shuffles of text have so many buckets at most.
+BUCKET_BITS = 20
 
 
 def _segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -60,18 +62,31 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.withColumns({"_t_id": F.col(id_col).cast("long"), "_t_text": text, "_t_key": F.xxhash64(F.col(id_col), text)})
 
 
+def _buckets(keys: DataFrame, key: str) -> DataFrame:
+    """The buckets that hashed keys fall in: at most 2^BUCKET_BITS rows, so it may be broadcast."""
+    return cut(keys.select(F.col(key).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).alias("_t_bucket")).distinct())
+
+
+def _only(df: DataFrame, column: str, keys: DataFrame, key: str, how: str = "left_semi", buckets: DataFrame | None = None) -> DataFrame:
+    """Rows whose hashed ``column`` shares a bucket with the keys, without a shuffle. It lets some others through."""
+    held = _buckets(keys, key) if buckets is None else buckets
+    return df.join(F.broadcast(held), F.col(column).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)) == F.col("_t_bucket"), how)
+
+
 def _repeated(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """(h, g, first, near) of lines that have copies or a near line before them."""
-    groups = lines.where("not blank").groupBy("h", "g").agg(
-        F.min(F.struct("_t_id", "_t_key", "pos")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line")
-    )
-    long_ = groups.where(F.char_length("line") >= min_chars)
-    posts = long_.select("h", "g", F.explode(_posts(F.col("line"), edits)).alias("p")).select("h", "g", "p.*").repartition("key")
+    black = lines.where("not blank")
+    groups = cut(black.groupBy("h", "g").agg(F.min(F.struct("_t_id", "_t_key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")))
+    long_ = black.where(F.char_length("line") >= min_chars)
+    # Copies of a line post alike; the grouping leaves one, and merges within tasks before it shuffles.
+    posts = long_.select("h", "g", F.explode(_posts(F.col("line"), edits)).alias("p")).groupBy("h", "g", "p.key").agg(F.max("p.index").alias("index"), F.max("p.probe").alias("probe"))
     left = posts.where("index").select("key", F.col("h").alias("ah"), F.col("g").alias("ag"))
     right = posts.where("probe").select("key", F.col("h").alias("bh"), F.col("g").alias("bg"))
-    pairs = left.join(right, "key").where("ah != bh or ag != bg").select("ah", "ag", "bh", "bg").distinct()
-    a = groups.select(F.col("h").alias("ah"), F.col("g").alias("ag"), F.col("first").alias("a_first"), F.col("line").alias("a_line"))
-    b = groups.select(F.col("h").alias("bh"), F.col("g").alias("bg"), F.col("first").alias("b_first"), F.col("line").alias("b_line"))
+    pairs = cut(left.join(right, "key").where("ah != bh or ag != bg").select("ah", "ag", "bh", "bg").distinct())
+    ends = pairs.select(F.col("ah").alias("h"), F.col("ag").alias("g")).union(pairs.select("bh", "bg")).distinct()
+    texts = _only(long_, "h", ends, "h").select("h", "g", "line").groupBy("h", "g").agg(F.first("line").alias("line")).join(groups.drop("n"), ["h", "g"])
+    a = texts.select(F.col("h").alias("ah"), F.col("g").alias("ag"), F.col("first").alias("a_first"), F.col("line").alias("a_line"))
+    b = texts.select(F.col("h").alias("bh"), F.col("g").alias("bg"), F.col("first").alias("b_first"), F.col("line").alias("b_line"))
     close = pairs.join(a, ["ah", "ag"]).join(b, ["bh", "bg"]).where(F.levenshtein("a_line", "b_line", edits) >= 0)
     a_later = F.col("a_first") > F.col("b_first")
     later = close.select(F.when(a_later, F.col("ah")).otherwise(F.col("bh")).alias("h"), F.when(a_later, F.col("ag")).otherwise(F.col("bg")).alias("g"))
@@ -89,7 +104,12 @@ def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: i
     gone = F.col("near") | (F.col("first.key") != F.col("_t_key")) | (F.col("first.pos") != F.col("pos"))
     flagged = lines.join(repeated, ["h", "g"], "left").select("_t_key", "pos", F.coalesce(~F.col("blank") & gone, F.lit(False)).alias("gone"))
     flags = flagged.groupBy("_t_key").agg(F.sort_array(F.collect_set(F.struct("pos", "gone"))).alias("_t_flags"), F.max("gone").alias("_t_any")).where("_t_any").drop("_t_any")
-    return keyed.join(flags, "_t_key", "left")
+    flags = cut(flags)
+    held = _buckets(flags, "_t_key")
+    # Only texts that may lose lines are shuffled.
+    hit = _only(keyed, "_t_key", flags, "_t_key", buckets=held).join(flags, "_t_key", "left")
+    rest = _only(keyed, "_t_key", flags, "_t_key", "left_anti", held)
+    return hit.unionByName(rest, allowMissingColumns=True)
 
 
 def _kept(text: Column) -> Column:
