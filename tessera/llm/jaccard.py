@@ -32,11 +32,11 @@ from .components import components
 
 SHINGLE, SIMILARITY = 5, (80, 100)
 #: log2 of the sketch's counters. The sketch only orders shingles; any order gives the same links.
-SKETCH_BITS, SLICE_BITS = 21, 15
+SKETCH_BITS, SLICE_BITS = 23, 16
 FILTER_BITS = 22
 #: The largest number of shared prefix shingles a document may ask for, and the cost of a
 #: verification as posting reads for each shingle of the set.
-MOST_MATCHES, VERIFY_COST = 12, 0.1
+MOST_MATCHES, VERIFY_COST = 4, 0.1
 #: Heads of each list in the two rounds of stars.
 HEADS = (3, 6)
 #: Classes a task remembers to pass by copies; the memory is emptied when it is full.
