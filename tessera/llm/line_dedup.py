@@ -9,7 +9,7 @@ verified by Spark's levenshtein with a threshold, which works in a band around t
 
 A line goes if the same line came before, or one within ``edits`` edits came before
 (whether or not that one stays), in the order of (doc_id, text's hash, line number).
-Blank lines stay, and lines under ``min_chars`` characters go only as exact copies.
+Lines of nothing but spaces, tabs and the like stay, and lines under ``min_chars`` characters go only as exact copies.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def _lines(df: DataFrame) -> DataFrame:
         "_t_key", "_t_id", "pos", "line",
         F.xxhash64("line").alias("h"),
         (F.shiftleft(F.crc32(F.col("line").cast("binary")), 31).bitwiseXOR(F.char_length("line").cast("long"))).alias("g"),
-        (F.trim(F.regexp_replace("line", r"\s+", "")) == "").alias("blank"),
+        (F.btrim("line", F.lit(" \t\r\x0b\x0c")) == "").alias("blank"),
     )
 
 
@@ -82,7 +82,10 @@ def _repeated(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     posts = long_.select("h", "g", F.explode(_posts(F.col("line"), edits)).alias("p")).groupBy("h", "g", "p.key").agg(F.max("p.index").alias("index"), F.max("p.probe").alias("probe"))
     left = posts.where("index").select("key", F.col("h").alias("ah"), F.col("g").alias("ag"))
     right = posts.where("probe").select("key", F.col("h").alias("bh"), F.col("g").alias("bg"))
-    pairs = cut(left.join(right, "key").where("ah != bh or ag != bg").select("ah", "ag", "bh", "bg").distinct())
+    # Lines of one length find each other both ways; such a pair is kept once.
+    one, two = F.struct(F.col("ah").alias("h"), F.col("ag").alias("g")), F.struct(F.col("bh").alias("h"), F.col("bg").alias("g"))
+    met = left.join(right, "key").where("ah != bh or ag != bg").select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two")).distinct()
+    pairs = cut(met.select(F.col("one.h").alias("ah"), F.col("one.g").alias("ag"), F.col("two.h").alias("bh"), F.col("two.g").alias("bg")))
     ends = pairs.select(F.col("ah").alias("h"), F.col("ag").alias("g")).union(pairs.select("bh", "bg")).distinct()
     texts = _only(long_, "h", ends, "h").select("h", "g", "line").groupBy("h", "g").agg(F.first("line").alias("line")).join(groups.drop("n"), ["h", "g"])
     a = texts.select(F.col("h").alias("ah"), F.col("g").alias("ag"), F.col("first").alias("a_first"), F.col("line").alias("a_line"))
