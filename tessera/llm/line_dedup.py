@@ -82,9 +82,11 @@ def _repeated(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     posts = long_.select("h", "g", F.explode(_posts(F.col("line"), edits)).alias("p")).groupBy("h", "g", "p.key").agg(F.max("p.index").alias("index"), F.max("p.probe").alias("probe"))
     left = posts.where("index").select("key", F.col("h").alias("ah"), F.col("g").alias("ag"))
     right = posts.where("probe").select("key", F.col("h").alias("bh"), F.col("g").alias("bg"))
-    # Lines of one length find each other both ways; such a pair is kept once.
+    # Lines of one length (the low bits of g) would find each other both ways; one way is enough.
+    size = lambda c: F.col(c).bitwiseAND(F.lit((1 << 31) - 1))
+    once = (size("ag") != size("bg")) | (F.col("ah") < F.col("bh")) | ((F.col("ah") == F.col("bh")) & (F.col("ag") < F.col("bg")))
     one, two = F.struct(F.col("ah").alias("h"), F.col("ag").alias("g")), F.struct(F.col("bh").alias("h"), F.col("bg").alias("g"))
-    met = left.join(right, "key").where("ah != bh or ag != bg").select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two")).distinct()
+    met = left.join(right, "key").where(once).select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two")).distinct()
     pairs = cut(met.select(F.col("one.h").alias("ah"), F.col("one.g").alias("ag"), F.col("two.h").alias("bh"), F.col("two.g").alias("bg")))
     ends = pairs.select(F.col("ah").alias("h"), F.col("ag").alias("g")).union(pairs.select("bh", "bg")).distinct()
     texts = _only(long_, "h", ends, "h").select("h", "g", "line").groupBy("h", "g").agg(F.first("line").alias("line")).join(groups.drop("n"), ["h", "g"])
