@@ -1,13 +1,14 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-Two lines within ``edits`` edits of each other: cut the shorter one into edits + 1
+How many edits two near lines may be apart follows from the length of the shorter one
+(``edits``). Two lines within k edits of each other: cut the shorter one into k + 1
 segments, and at least one segment stands unchanged in the other line, near its own
 place. Every different line posts its segments under (length, segment number, content)
 and probes with its substrings that can match a segment of a line of its length or up
-to ``edits`` shorter; the multi-match-aware ranges keep the probes few. Candidates are
+to k shorter; the multi-match-aware ranges keep the probes few. Candidates are
 verified by Spark's levenshtein with a threshold, which works in a band around the diagonal.
 
-A line goes if the same line came before, or one within ``edits`` edits came before
+A line goes if the same line came before, or a near one came before
 (whether or not that one stays), in the order of (doc_id, text's hash, line number).
 Lines of nothing but spaces, tabs and the like stay, and lines under ``min_chars`` characters go only as exact copies.
 """
@@ -19,33 +20,47 @@ from pyspark.sql import functions as F
 
 from .common import cut, prepare
 
-EDITS, MIN_CHARS = 1, 24
+#: (characters of the shorter line from which it holds, edits), by length.
+EDITS, MIN_CHARS = ((0, 2), (200, 3), (400, 4)), 24
 #: Filters that go before shuffles of text have so many buckets at most.
 BUCKET_BITS = 20
 
 
-def _segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """(start, length) of segment i of a line of n characters: even parts, the longer ones last."""
-    k = edits + 1
+def _segment(n: Column, i: Column, k: Column) -> tuple[Column, Column]:
+    """(start, length) of segment i of k of a line of n characters: even parts, the longer ones last."""
     part, longer = F.floor(n / k).cast("int"), (n % k).cast("int")
-    start = part * i + F.greatest(F.lit(0), F.lit(i - k) + longer)
-    return start, part + F.when(F.lit(i) >= F.lit(k) - longer, 1).otherwise(0)
+    start = part * i + F.greatest(F.lit(0), i - k + longer)
+    return start, part + F.when(i >= k - longer, 1).otherwise(0)
 
 
-def _post(line: Column, n: Column, i: int, start: Column, size: Column, index: bool, probe: bool) -> Column:
-    key = F.xxhash64(n, F.lit(i), line.substr(start + 1, size))
-    return F.struct(key.alias("key"), F.lit(index).alias("index"), F.lit(probe).alias("probe"))
+def _probes(edits: tuple[tuple[int, int], ...], index: bool) -> Column:
+    """(from, to, k, gap, i, shift): a line probes for segment i of k, moved by shift, of lines ``gap`` shorter with from to to - 1 characters."""
+    out = []
+    for (low, most), high in zip(edits, [*(x for x, _ in edits[1:]), (1 << 31) - 1], strict=True):
+        for gap in range(0 if index else most, -1, -1):
+            for i in range(most + 1):
+                for shift in [0] if index else range(max(-i, gap - (most - i)), min(i, gap + (most - i)) + 1):
+                    out.append((low, high, most + 1, gap, i, shift))
+    names = ("_t_low", "_t_high", "_t_k", "_t_gap", "_t_i", "_t_shift")
+    return F.array(*(F.struct(*(F.lit(x).alias(name) for x, name in zip(row, names, strict=True))) for row in out))
 
 
-def _posts(line: Column, edits: int) -> Column:
-    """The postings and probes of a line. A segment at its own place is both."""
-    n, out = F.char_length(line), []
-    for gap in range(edits + 1):
-        for i in range(edits + 1):
-            start, size = _segment(n - gap, i, edits)
-            for shift in range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1):
-                out.append(_post(line, n - gap, i, start + shift, size, gap == 0 and shift == 0, True))
-    return F.array(*out)
+def _posts(lines: DataFrame, edits: tuple[tuple[int, int], ...], index: bool) -> DataFrame:
+    """(key, h, same): the postings of each line, or its probes and whether they are for lines of its own length."""
+    every = lines.select("h", "line", F.char_length("line").alias("n"), F.inline(_probes(edits, index)))
+    size = F.col("n") - F.col("_t_gap")
+    start, length = _segment(size, F.col("_t_i"), F.col("_t_k"))
+    text = F.col("line").substr(start + F.col("_t_shift") + 1, length)
+    held = every.where((size >= F.col("_t_low")) & (size < F.col("_t_high")))
+    return held.select(F.xxhash64(size, F.col("_t_i"), text).alias("key"), "h", (F.col("_t_gap") == 0).alias("same"))
+
+
+def _allowed(n: Column, edits: tuple[tuple[int, int], ...]) -> Column:
+    """The edits allowed for a shorter line of n characters."""
+    out = F.lit(edits[0][1])
+    for low, most in edits[1:]:
+        out = F.when(n >= low, most).otherwise(out)
+    return out
 
 
 def _lines(df: DataFrame) -> DataFrame:
@@ -73,26 +88,24 @@ def _only(df: DataFrame, column: str, keys: DataFrame, key: str, how: str = "lef
     return df.join(F.broadcast(held), F.col(column).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)) == F.col("_t_bucket"), how)
 
 
-def _repeated(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def _repeated(lines: DataFrame, edits: tuple[tuple[int, int], ...], min_chars: int) -> DataFrame:
     """(h, g, first, near) of lines that have copies or a near line before them."""
     black = lines.where("not blank")
     groups = cut(black.groupBy("h", "g").agg(F.min(F.struct("_t_id", "_t_key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")))
     long_ = black.where(F.char_length("line") >= min_chars)
-    # Copies of a line post alike; the grouping leaves one, and merges within tasks before it shuffles.
-    posts = long_.select("h", "g", F.explode(_posts(F.col("line"), edits)).alias("p")).groupBy("h", "g", "p.key").agg(F.max("p.index").alias("index"), F.max("p.probe").alias("probe"))
-    left = posts.where("index").select("key", F.col("h").alias("ah"), F.col("g").alias("ag"))
-    right = posts.where("probe").select("key", F.col("h").alias("bh"), F.col("g").alias("bg"))
-    # Lines of one length (the low bits of g) would find each other both ways; one way is enough.
-    size = lambda c: F.col(c).bitwiseAND(F.lit((1 << 31) - 1))
-    once = (size("ag") != size("bg")) | (F.col("ah") < F.col("bh")) | ((F.col("ah") == F.col("bh")) & (F.col("ag") < F.col("bg")))
-    one, two = F.struct(F.col("ah").alias("h"), F.col("ag").alias("g")), F.struct(F.col("bh").alias("h"), F.col("bg").alias("g"))
-    met = left.join(right, "key").where(once).select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two")).distinct()
-    pairs = cut(met.select(F.col("one.h").alias("ah"), F.col("one.g").alias("ag"), F.col("two.h").alias("bh"), F.col("two.g").alias("bg")))
-    ends = pairs.select(F.col("ah").alias("h"), F.col("ag").alias("g")).union(pairs.select("bh", "bg")).distinct()
+    # Only one of a line's copies posts.
+    different = long_.select("h", "line").distinct()
+    left = _posts(different, edits, True).select("key", F.col("h").alias("ah"))
+    right = _posts(different, edits, False).select("key", F.col("h").alias("bh"), "same")
+    # Lines of one length would find each other both ways; one way is enough.
+    once = F.when(F.col("same"), F.col("ah") < F.col("bh")).otherwise(F.col("ah") != F.col("bh"))
+    pairs = cut(left.join(right, "key").where(once).select("ah", "bh").distinct())
+    ends = pairs.select(F.col("ah").alias("h")).union(pairs.select("bh")).distinct()
     texts = _only(long_, "h", ends, "h").select("h", "g", "line").groupBy("h", "g").agg(F.first("line").alias("line")).join(groups.drop("n"), ["h", "g"])
     a = texts.select(F.col("h").alias("ah"), F.col("g").alias("ag"), F.col("first").alias("a_first"), F.col("line").alias("a_line"))
     b = texts.select(F.col("h").alias("bh"), F.col("g").alias("bg"), F.col("first").alias("b_first"), F.col("line").alias("b_line"))
-    close = pairs.join(a, ["ah", "ag"]).join(b, ["bh", "bg"]).where(F.levenshtein("a_line", "b_line", edits) >= 0)
+    apart = F.levenshtein("a_line", "b_line", max(most for _, most in edits))
+    close = pairs.join(a, "ah").join(b, "bh").where(apart.between(0, _allowed(F.least(F.char_length("a_line"), F.char_length("b_line")), edits)))
     a_later = F.col("a_first") > F.col("b_first")
     later = close.select(F.when(a_later, F.col("ah")).otherwise(F.col("bh")).alias("h"), F.when(a_later, F.col("ag")).otherwise(F.col("bg")).alias("g"))
     near = later.distinct().withColumn("near", F.lit(True))
@@ -100,7 +113,7 @@ def _repeated(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     return marked.select("h", "g", F.struct(F.col("first._t_key").alias("key"), F.col("first.pos").alias("pos")).alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
 
 
-def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: tuple[tuple[int, int], ...] = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Adds _t_flags: for each line of the row's text whether it goes; null where none goes."""
     prepare(df.sparkSession)
     keyed = _keyed(df, id_col, text_col)
@@ -123,7 +136,7 @@ def _kept(text: Column) -> Column:
     return F.when(F.col("_t_flags").isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: tuple[tuple[int, int], ...] = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Every row with repeated lines taken out of its text; other columns stay.
 
     Lines end with a line feed. A null text stays null, an empty one empty. Rows alike in id and text
@@ -133,7 +146,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits:
     return marked.withColumn(text_col, _kept(F.col(text_col))).select(*df.columns)
 
 
-def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: tuple[tuple[int, int], ...] = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, n_lines, n_removed, text) of every row; a null or empty text is one empty line."""
     marked = mark(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", edits, min_chars)
     removed = F.coalesce(F.size(F.filter("_t_flags", lambda x: x["gone"])), F.lit(0))

@@ -74,6 +74,41 @@ def test_line_dedup(spark):
     assert got == {0: (2, 0, line + "\nfirst"), 1: (2, 1, "second"), 2: (1, 1, ""), 3: (1, 0, None), 4: (1, 0, ""), 5: (4, 1, "\n\nlast"), 6: (1, 1, "")}
 
 
+def changed(line, r, n):
+    """The line with n characters put in, taken out or put in another's place."""
+    out = list(line)
+    for _ in range(n):
+        k, what = r.randrange(len(out)), r.randrange(3)
+        out[k : k + (what > 0)] = ["#"] * (what < 2)
+    return "".join(out)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_line_dedup_by_length(spark):
+    r, texts = random.Random(6), []
+    for k, n in enumerate((5, 9, 23, 24, 25, 60, 198, 202, 300, 398, 402, 500)):
+        line = " ".join(words(k, 120))[:n]
+        texts += [line, *(changed(line, r, e) for e in (1, 2, 2, 3, 3, 4, 4, 5, 6))]
+    r.shuffle(texts)
+
+    def near(a, b):
+        n = min(len(a), len(b))
+        return n >= 24 and distance(a, b) <= (4 if n >= 400 else 3 if n >= 200 else 2)
+
+    gone = {i: any(texts[j] == texts[i] or near(texts[i], texts[j]) for j in range(i)) for i in range(len(texts))}
+    got = {x.doc_id: x.n_removed for x in line_dedup.report(table(spark, texts)).collect()}
+    assert got == {i: int(x and texts[i].strip() != "") for i, x in gone.items()}
+    assert sum(gone.values()) > 25
+
+
 def test_byte_bpe_equals_the_library():
     from tokenizers import Tokenizer
 
