@@ -1,9 +1,12 @@
 """Graph queries on a small graph."""
 
+from collections import Counter
+
 import pytest
 
 from tessera.catalog.graph import EdgeTable, NodeTable, PropertyGraph
 from tessera.frontend.lexer import QueryError
+from tessera.plans.bench_queries import QUERIES
 from tessera.session import Session
 
 
@@ -39,3 +42,9 @@ def test_query(session, text, rows):
 def test_undefined_variable(session):
     with pytest.raises(QueryError):
         session.run("MATCH (a) RETURN b.name AS x")
+
+
+def test_different_edges_of_all_orders(spark):
+    items = Counter(r[0] for r in spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey").collect())
+    got = {r.k: r.n for r in QUERIES["different_edges_all"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {k: n * (n - 1) for k, n in items.items() if n > 1} and max(got) >= 200
