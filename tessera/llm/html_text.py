@@ -4,7 +4,9 @@ Markup is stripped into lines: block elements begin and end lines, inline elemen
 not. Elements that never hold the article (menus, forms, scripts and the like) leave no
 text, and where one stood, or a container began or ended, the distribution gets a gap of empty lines. Text lengths are summed over sliding windows
 of lines. Text starts where the sums surge from nothing and ends where they dive to
-nothing; the stretch with the most text is the article. Lines inside
+nothing; the stretch with the most text is the article. An advert or form amid an article
+leaves a gap too, so all text of the stretch's outermost container belongs and counts to it; for
+a stretch in no container it is the text in none. Lines inside
 ``<article>`` or ``<main>`` weigh more, so that a short article beats a long notice.
 """
 
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +31,7 @@ MARKED_WEIGHT = 50
 _GONE = frozenset("head script style noscript template iframe object svg canvas nav footer aside form button select textarea dialog menu audio video".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_CONTAINERS = frozenset("div section center details fieldset".split())
 _RAW = frozenset("script style textarea title noscript template iframe svg".split())
 _BAD_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|advertis\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|"
@@ -57,19 +61,22 @@ def _boilerplate(name: str, attributes: str, inside: int) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, bool]]:
-    """(text, whether it stands in an article element) of each line; gaps are runs of empty lines."""
-    out: list[tuple[str, bool]] = []
+def lines(page: str) -> list[tuple[str, bool, int]]:
+    """(text, whether it stands in an article element, its outermost container or 0) of each line; gaps are runs of empty lines."""
+    out: list[tuple[str, bool, int]] = []
     held: list[str] = []
     inside, skip, depth = 0, "", 0
+    within: list[str] = []
+    opened: Counter[str] = Counter()
+    outermost = 0
 
     def end(gap: bool = False) -> None:
         text = _SPACE.sub(" ", html.unescape("".join(held))).strip() if held else ""
         held.clear()
         if text:
-            out.append((text, inside > 0))
+            out.append((text, inside > 0, outermost if within else 0))
         if gap:
-            out.extend([("", False)] * (WINDOW + 1))
+            out.extend([("", False, 0)] * (WINDOW + 1))
 
     pos = 0
     while (m := _TAG.search(page, pos)) is not None:
@@ -96,6 +103,10 @@ def lines(page: str) -> list[tuple[str, bool]]:
             end(gap=name in ("article", "main"))
             if name in ("article", "main"):
                 inside = max(0, inside - 1)
+            if opened[name]:  # what was left open inside ends with it
+                while (last := within.pop()) != name:
+                    opened[last] -= 1
+                opened[name] -= 1
             continue
         if _boilerplate(name, attributes, inside):
             end(gap=not inside)
@@ -113,6 +124,10 @@ def lines(page: str) -> list[tuple[str, bool]]:
             end(gap=name in ("article", "main") and not inside)
             if name in ("article", "main"):
                 inside += 1
+            elif name in _CONTAINERS and not attributes.endswith("/"):
+                outermost += not within
+                within.append(name)
+                opened[name] += 1
     if not skip and pos < len(page):
         held.append(page[pos:])
     end()
@@ -137,8 +152,8 @@ def main_text(page: str | None) -> str:
     own = lines(page or "")
     if not own:
         return ""
-    sizes = np.array([len(t) for t, _ in own])
-    weight = np.array([len(t) * (MARKED_WEIGHT if marked else 1) for t, marked in own])
+    sizes = np.array([len(t) for t, _, _ in own])
+    weight = np.array([len(t) * (MARKED_WEIGHT if marked else 1) for t, marked, _ in own])
     found = stretches(sizes)
     if not found:
         return ""
@@ -146,7 +161,12 @@ def main_text(page: str | None) -> str:
     if weight[best[0] : best[1]].sum() > sizes[best[0] : best[1]].sum():  # an article element: all of its stretches are wanted
         kept = [x for x in found if any(own[i][1] for i in range(*x))]
         return "\n".join(own[i][0] for a, b in kept for i in range(a, b) if own[i][0] and own[i][1])
-    return "\n".join(own[i][0] for i in range(*best) if own[i][0])
+    total: Counter[int] = Counter()
+    for text, marked, outer in own:
+        total[outer] += 0 if marked else len(text)
+    around = [{own[i][2] for i in range(*x) if own[i][0]} for x in found]
+    best, around = max((x for x in zip(found, around, strict=True) if not any(own[i][1] for i in range(*x[0]))), key=lambda x: (sum(total[k] for k in x[1]), -x[0][0]))
+    return "\n".join(t for i, (t, marked, outer) in enumerate(own) if t and (best[0] <= i < best[1] or (outer in around and not marked)))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -158,3 +158,15 @@ def test_quality_and_html():
     page = '<html><nav><a href="/">Home</a></nav><div class="ad">Buy</div><article><h1>T &amp; U</h1><p>a  b<br>c</p></article><footer>f</footer>'
     assert html_text.main_text(page) == "T & U\na b c"
     assert html_text.main_text(None) == ""
+
+
+def test_html_article_in_a_plain_div():
+    amid = ['<div class="ad">x</div>', "<form><input><p>x</p></form>", "<aside><p>x</p></aside>", '<p class="notice">x</p>', '<ul class="share"><li>x</li></ul>']
+    for x in amid:
+        assert html_text.main_text(f"<body><div id=content><p>A one</p>{x}<p>B</p></div></body>") == "A one\nB"
+        assert html_text.main_text(f"<body><p>A one</p>{x}<p>B</p>") == "A one\nB"
+        assert html_text.main_text(f"<div><div><p>A one</div>{x}<section><p>B<div>C</section>{x}<p>D</div>") == "A one\nB\nC\nD"
+        assert html_text.main_text(f"<div>short</div>{x}<div><p>A longer one</p>{x}<p>B</p></div>{x}<div>end</div>") == "A longer one\nB"
+    assert html_text.main_text("<div>" + "".join(f"<p>{k}</p>{x}" for k, x in enumerate(amid)) + "</div></div><p>z</p>") == "0\n1\n2\n3\n4"
+    assert html_text.main_text("<div>" + f"<p>part</p>{amid[0]}" * 9 + "</div><div>another region</div>") == "\n".join(["part"] * 9)
+    assert html_text.main_text(f"<div><p>long text</p>{amid[0]}<article>A</article></div>") == "A"
