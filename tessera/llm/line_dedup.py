@@ -10,7 +10,7 @@ verified by Spark's levenshtein with a threshold, which works in a band around t
 
 A line goes if the same line came before, or a near one came before
 (whether or not that one stays), in the order of (doc_id, text's hash, line number).
-Lines of nothing but spaces, tabs and the like stay, and lines under ``min_chars`` characters go only as exact copies.
+Lines of nothing but spaces, tabs and the like stay. Lines shorter than the first length in ``edits`` are allowed no edit.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import cut, prepare
 
 #: (characters of the shorter line from which it holds, edits), by length.
-EDITS, MIN_CHARS = ((0, 2), (200, 3), (400, 4)), 24
+EDITS = ((8, 1), (24, 2), (200, 3), (400, 4))
 #: Filters that go before shuffles of text have so many buckets at most.
 BUCKET_BITS = 20
 
@@ -57,8 +57,8 @@ def _posts(lines: DataFrame, edits: tuple[tuple[int, int], ...], index: bool) ->
 
 def _allowed(n: Column, edits: tuple[tuple[int, int], ...]) -> Column:
     """The edits allowed for a shorter line of n characters."""
-    out = F.lit(edits[0][1])
-    for low, most in edits[1:]:
+    out = F.lit(0)
+    for low, most in edits:
         out = F.when(n >= low, most).otherwise(out)
     return out
 
@@ -88,11 +88,11 @@ def _only(df: DataFrame, column: str, keys: DataFrame, key: str, how: str = "lef
     return df.join(F.broadcast(held), F.col(column).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)) == F.col("_t_bucket"), how)
 
 
-def _repeated(lines: DataFrame, edits: tuple[tuple[int, int], ...], min_chars: int) -> DataFrame:
+def _repeated(lines: DataFrame, edits: tuple[tuple[int, int], ...]) -> DataFrame:
     """(h, g, first, near) of lines that have copies or a near line before them."""
     black = lines.where("not blank")
     groups = cut(black.groupBy("h", "g").agg(F.min(F.struct("_t_id", "_t_key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")))
-    long_ = black.where(F.char_length("line") >= min_chars)
+    long_ = black.where(F.char_length("line") >= edits[0][0])
     # Only one of a line's copies posts.
     different = long_.select("h", "line").distinct()
     left = _posts(different, edits, True).select("key", F.col("h").alias("ah"))
@@ -113,11 +113,11 @@ def _repeated(lines: DataFrame, edits: tuple[tuple[int, int], ...], min_chars: i
     return marked.select("h", "g", F.struct(F.col("first._t_key").alias("key"), F.col("first.pos").alias("pos")).alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
 
 
-def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: tuple[tuple[int, int], ...] = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: tuple[tuple[int, int], ...] = EDITS) -> DataFrame:
     """Adds _t_flags: for each line of the row's text whether it goes; null where none goes."""
     prepare(df.sparkSession)
     keyed = _keyed(df, id_col, text_col)
-    repeated = cut(_repeated(_lines(keyed), edits, min_chars))
+    repeated = cut(_repeated(_lines(keyed), edits))
     lines = _lines(keyed).select(F.col("_t_key"), "pos", "h", "g", "blank")
     gone = F.col("near") | (F.col("first.key") != F.col("_t_key")) | (F.col("first.pos") != F.col("pos"))
     flagged = lines.join(repeated, ["h", "g"], "left").select("_t_key", "pos", F.coalesce(~F.col("blank") & gone, F.lit(False)).alias("gone"))
@@ -136,18 +136,18 @@ def _kept(text: Column) -> Column:
     return F.when(F.col("_t_flags").isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: tuple[tuple[int, int], ...] = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: tuple[tuple[int, int], ...] = EDITS) -> DataFrame:
     """Every row with repeated lines taken out of its text; other columns stay.
 
     Lines end with a line feed. A null text stays null, an empty one empty. Rows alike in id and text
     count as one and keep the same lines. An empty table gives an empty result.
     """
-    marked = mark(df, id_col, text_col, edits, min_chars)
+    marked = mark(df, id_col, text_col, edits)
     return marked.withColumn(text_col, _kept(F.col(text_col))).select(*df.columns)
 
 
-def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: tuple[tuple[int, int], ...] = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: tuple[tuple[int, int], ...] = EDITS) -> DataFrame:
     """(doc_id, n_lines, n_removed, text) of every row; a null or empty text is one empty line."""
-    marked = mark(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", edits, min_chars)
+    marked = mark(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", edits)
     removed = F.coalesce(F.size(F.filter("_t_flags", lambda x: x["gone"])), F.lit(0))
     return marked.select("doc_id", F.size(F.split("_t_text", "\n", -1)).cast("long").alias("n_lines"), F.when(F.col("_t_flags").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"), _kept(F.col("text")).alias("text"))

@@ -101,7 +101,7 @@ def test_line_dedup_by_length(spark):
 
     def near(a, b):
         n = min(len(a), len(b))
-        return n >= 24 and distance(a, b) <= (4 if n >= 400 else 3 if n >= 200 else 2)
+        return distance(a, b) <= (4 if n >= 400 else 3 if n >= 200 else 2 if n >= 24 else 1 if n >= 8 else 0)
 
     gone = {i: any(texts[j] == texts[i] or near(texts[i], texts[j]) for j in range(i)) for i in range(len(texts))}
     got = {x.doc_id: x.n_removed for x in line_dedup.report(table(spark, texts)).collect()}
@@ -109,6 +109,11 @@ def test_line_dedup_by_length(spark):
     assert sum(gone.values()) > 25
 
 
+def test_line_dedup_of_short_lines(spark):
+    texts = ["All rights reserved", "All right reserved", "ab", "ac", "All  right reserved"]
+    assert [r.n_removed for r in line_dedup.report(table(spark, texts)).sort("doc_id").collect()] == [0, 1, 0, 0, 1]
+
+
 def test_byte_bpe_equals_the_library():
     from tokenizers import Tokenizer
 
