@@ -53,7 +53,7 @@ def cast_name(text: str) -> str:
 class Lower:
     """One working table and its scope."""
 
-    #: How far an unbounded quantifier is followed before it is refused.
+    #: How far an unbounded quantifier is followed before it is refused, where walks may repeat edges and no search ends them.
     MOST_HOPS = 64
 
     def __init__(self, spark: SparkSession, graph: PropertyGraph, params: dict[str, Any] | None = None, session: Any = None):

@@ -351,9 +351,10 @@ class Matcher:
         join = (lambda a, b: F.concat(F.col(b), F.col(a))) if backwards else (lambda a, b: F.concat(F.col(a), F.col(b)))
         levels, now, hop = ([seed] if low == 0 else []), seed, 0
         visited = starts.select("_s", F.col("_s").alias("_t")) if prune and low == 0 else None
-        stop = high if high is not None else Lower.MOST_HOPS
+        endless = high is None and mode == "walk" and prune is None  # on a cycle; other walks run out of edges or of new ends
+        stop = Lower.MOST_HOPS if endless else high
         unbounded = high is None or high > 12 or prune is not None
-        while hop < stop:
+        while stop is None or hop < stop:
             hop += 1
             grown = now.join(move, F.col("_t") == F.col("_f"))
             if mode != "walk" and prune is None:
@@ -377,7 +378,7 @@ class Matcher:
                 now = _cut(now)
                 if not now.head(1):
                     break
-                if hop == stop and high is None:
+                if hop == stop and endless:
                     raise QueryError(f"an unbounded quantifier goes beyond {Lower.MOST_HOPS} repetitions", code="limit")
             if prune is not None:
                 reached = now.select("_s", "_t").distinct()

@@ -48,3 +48,11 @@ def test_different_edges_of_all_orders(spark):
     items = Counter(r[0] for r in spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey").collect())
     got = {r.k: r.n for r in QUERIES["different_edges_all"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {k: n * (n - 1) for k, n in items.items() if n > 1} and max(got) >= 200
+
+
+@pytest.mark.parametrize(("text", "n"), [("MATCH (a {k: 0})-[:NEXT]->*(b) RETURN count(*) AS n", 71), ("MATCH p = ANY SHORTEST (a {k: 0})-[:NEXT]->+(b {k: 70}) RETURN path_length(p) AS n", 70)])
+def test_more_hops_than_a_walk_may_take(spark, text, n):
+    nodes = spark.createDataFrame([(k, ["T"], k) for k in range(71)], "_id bigint, _labels array<string>, k bigint")
+    edges = spark.createDataFrame([(k, k, k + 1) for k in range(70)], "_id bigint, _src bigint, _dst bigint")
+    got = Session(spark, PropertyGraph((NodeTable(frozenset(["T"]), nodes, True),), (EdgeTable("NEXT", edges),))).run(text).collect()
+    assert [r.n for r in got] == [n]
