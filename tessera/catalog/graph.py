@@ -30,11 +30,13 @@ class NodeTable:
 
 @dataclass(frozen=True)
 class EdgeTable:
-    """``df`` has _id, _src, _dst and property columns."""
+    """``df`` has _id, _src, _dst and property columns. ``unique_src``: a node is the source of one edge of the table at most."""
 
     type: str
     df: DataFrame
     directed: bool = True
+    unique_src: bool = False
+    unique_dst: bool = False
 
     @property
     def props(self) -> list[str]:
@@ -108,9 +110,13 @@ class PropertyGraph:
             parts.append(t.df if fits else t.df.where(label_test(labels, F.col("_labels"))))
         return _union(parts, _common(tables), ["_id", "_labels"]), _common(tables)
 
+    def edge_tables(self, labels: Node | None) -> list[EdgeTable]:
+        """The edge tables that a label expression admits."""
+        return [t for t in self.edges if _fixed(labels, frozenset([t.type]), False)]
+
     def edge_scan(self, labels: Node | None) -> tuple[DataFrame | None, dict[str, T.DataType], frozenset[str]]:
         """Rows (_id, _type, _src, _dst, _directed, properties) of the edge types of a label expression."""
-        tables = [t for t in self.edges if _fixed(labels, frozenset([t.type]), False)]
+        tables = self.edge_tables(labels)
         parts = [t.df.withColumns({"_type": F.lit(t.type), "_directed": F.lit(t.directed)}) for t in tables]
         return _union(parts, _common(tables), ["_id", "_type", "_src", "_dst", "_directed"]), _common(tables), frozenset(t.type for t in tables)
 
@@ -155,13 +161,16 @@ class GraphBuilder:
         return self
 
     def edge(self, kind: str, df: DataFrame, src: tuple[str, str], dst: tuple[str, str], key: str | None = None, props: dict[str, str] | None = None, directed: bool = True) -> "GraphBuilder":
-        """Edges of type ``kind``; src and dst are (node table, key expression). Without ``key`` the whole row is hashed."""
+        """Edges of type ``kind``; src and dst are (node table, key expression). Without ``key`` the whole row is hashed.
+
+        ``key`` is unique in ``df``, so an end with the same expression has one edge at most.
+        """
         self.tags += 1
         ends = [self._tagged(F.expr(e), self.kinds[n][1], self.kinds[n][0]) for n, e in (src, dst)]
         ident = self._tagged(F.expr(key) if key else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), True, self.tags)
         cols = [F.expr(e).alias(p) for p, e in (props or {}).items()]
         out = df.select(ident.alias("_id"), ends[0].alias("_src"), ends[1].alias("_dst"), *cols)
-        self.made_edges.append(EdgeTable(kind, out, directed))
+        self.made_edges.append(EdgeTable(kind, out, directed, key == src[1], key == dst[1]))
         return self
 
     def build(self) -> PropertyGraph:

@@ -22,6 +22,7 @@ from ..frontend.lexer import QueryError
 from ..frontend.parser import AGGREGATES
 from ..frontend.tree import Node
 from ..functions import registry
+from . import factor
 from .values import Bound, EdgeVar, Expr, NodeVar, Value, Var, name_of
 
 _serial = count()
@@ -61,6 +62,7 @@ class Lower:
         self.df: DataFrame | None = None  # None: one row without columns
         self.scope: dict[str, Var] = {}
         self.known: dict[Node, Expr] = {}  # expressions that are columns already (grouping keys, aggregates)
+        self.weights: list[str] = []  # how many rows a row stands for, as columns to multiply
 
     # ------------------------------------------------------------ working table
 
@@ -662,8 +664,7 @@ class Lower:
 
     def query(self, n: Node, final: bool = True) -> None:
         if n.kind == "linear":
-            for c in n.clauses:
-                self.clause(c)
+            self.clauses(n.clauses)
         elif n.kind == "next":
             self.query(n.first)
             if n.keep is not None:
@@ -674,6 +675,20 @@ class Lower:
         else:
             raise QueryError(f"{n.kind} is no query", code="unsupported")
 
+    def clauses(self, cs: list[Node]) -> None:
+        """Runs clauses in turn. Before an aggregation, branches of a match that it does not read are only counted."""
+        for i, c in enumerate(cs):
+            if c.kind == "match" and i + 1 < len(cs) and cs[i + 1].kind == "project":
+                counted = factor.plan(self, c, cs[i + 1])
+                if counted is not None:
+                    counted.run(self)
+                    continue
+            self.clause(c)
+
+    def weight(self) -> Column:
+        """How many rows of the pattern a row stands for."""
+        return reduce(lambda a, b: a * b, [name_of(w) for w in self.weights])
+
     def clause(self, c: Node) -> None:
         f = getattr(self, f"_do_{c.kind}", None)
         if f is None:
@@ -760,9 +775,7 @@ class Lower:
             self.where(c.where)
 
     def _do_select(self, c: Node) -> None:
-        for s in c.source:
-            self.clause(s)
-        self.clause(c.project)
+        self.clauses([*c.source, c.project])
 
     def set_query(self, n: Node) -> None:
         left, right = self.fork(), self.fork()
@@ -885,6 +898,7 @@ class Lower:
             calls[n] = col
         rest = [F.first(name_of(x)).alias(x) for v in bundles.values() for x in v.columns() if x not in cols]
         aggs = [col.alias(made[n]) for n, col in calls.items()] + rest
+        self.weights = []
         grouped = self.frame().groupBy(*dict.fromkeys(cols))
         self.df = grouped.agg(*aggs) if aggs else grouped.agg(F.count(F.lit(1)).alias(fresh("n")))
         for name, finish in after:
@@ -896,9 +910,15 @@ class Lower:
     def aggregate(self, n: Node) -> tuple[Column, Callable[[Column], Column] | None]:
         name = n.name
         if n.args and n.args[0].kind == "star":
-            return F.count(F.lit(1)), None
+            return (F.coalesce(F.sum(self.weight()), F.lit(0)) if self.weights else F.count(F.lit(1))), None
         e = self._ident(n.args[0]) if name == "count" else self.ex(n.args[0])
         c = e.col
+        if self.weights and not n.distinct and name in ("count", "sum", "avg"):
+            rows = F.sum(F.when(c.isNotNull(), self.weight()))
+            if name == "count":
+                return F.coalesce(rows, F.lit(0)), None
+            total = F.sum(c * self.weight())
+            return (F.coalesce(total, F.lit(0)) if name == "sum" else total.cast("double") / rows), None
         if name == "count":
             return (F.count_distinct(c) if n.distinct else F.count(c)), None
         if name in ("collect", "collect_list"):

@@ -251,6 +251,8 @@ class Matcher:
         if not to.named and to.labels is None and not to.props and to.where is None:
             v = NodeVar(fresh("end"), None)
             self.low.keep(lambda d: d.withColumn(v.id, end))
+            if to.get("bare"):  # counted by its id
+                self.low.scope[to.var] = v
             return v
         rows, v = self.fields(to)
         self.low.df = self.low.frame().join(rows, end == name_of(v.id))

@@ -35,7 +35,6 @@ _q("conversions", "MATCH (c:Customer) RETURN c.custkey AS k, toString(c.custkey)
 _q("placed_by_segment", "MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE o.totalprice > 1000 RETURN c.mktsegment AS seg, count(*) AS n, sum(toInteger(round(o.totalprice * 100))) AS total ORDER BY seg", f"SELECT c_mktsegment AS seg, count(*) AS n, CAST(sum({_CENTS.format('o_totalprice')}) AS BIGINT) AS total FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 1000 GROUP BY 1")
 _q("two_hops", "MATCH (c:Customer)-[:PLACED]->(:Order)-[:CONTAINS]->(p:Part) RETURN p.brand AS brand, count(*) AS n", "SELECT p_brand AS brand, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1")
 _q("region_path", "MATCH (r:Region)<-[:IN_REGION]-(n:Nation)<-[:IN_NATION]-(c:Customer) RETURN r.name AS region, count(DISTINCT n) AS nations, count(c) AS customers", "SELECT r_name AS region, count(DISTINCT n_nationkey) AS nations, count(*) AS customers FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
-_q("different_edges", "MATCH (p:Part)<-[a:CONTAINS]-(o:Order)-[b:CONTAINS]->(q:Part) WHERE o.orderkey < 200 RETURN o.orderkey AS k, count(*) AS n", "WITH e AS (SELECT *, row_number() OVER () AS id FROM lineitem) SELECT o_orderkey AS k, count(*) AS n FROM orders JOIN e a ON a.l_orderkey = o_orderkey JOIN e b ON b.l_orderkey = o_orderkey AND a.id <> b.id WHERE o_orderkey < 200 GROUP BY 1")
 _q("different_edges_all", "MATCH (p:Part)<-[a:CONTAINS]-(o:Order)-[b:CONTAINS]->(q:Part) RETURN o.orderkey AS k, count(*) AS n", "WITH e AS (SELECT *, row_number() OVER () AS id FROM lineitem) SELECT o_orderkey AS k, count(*) AS n FROM orders JOIN e a ON a.l_orderkey = o_orderkey JOIN e b ON b.l_orderkey = o_orderkey AND a.id <> b.id GROUP BY 1")
 _q("undirected", "MATCH (n:Nation)-[:IN_REGION]-(r) RETURN n.name AS a, r.name AS b", "SELECT n_name AS a, r_name AS b FROM nation JOIN region ON n_regionkey = r_regionkey")
 _q("edge_properties", "MATCH (o:Order)-[l:CONTAINS WHERE l.returnflag = 'R']->(p:Part {size: 10}) RETURN o.orderkey AS o, p.partkey AS p, l.linenumber AS l, type(l) AS t", "SELECT l_orderkey AS o, p_partkey AS p, l_linenumber AS l, 'CONTAINS' AS t FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND p_size = 10")

@@ -39,6 +39,25 @@ def test_query(session, text, rows):
     assert [tuple(r) for r in session.run(text).collect()] == rows
 
 
+#: Branches that only a count sees, in one match and as one chain, against the same pattern with every row made (a path variable keeps it whole).
+@pytest.mark.parametrize(
+    ("counted", "whole"),
+    [
+        ("MATCH (a)-[:KNOWS]->(b), (a)<-[:LIKES]-(c) RETURN a.name AS a, count(*) AS n", "MATCH p = (b)<-[:KNOWS]-(a), (a)<-[:LIKES]-(c) RETURN a.name AS a, count(*) AS n"),
+        ("MATCH (b)<-[:KNOWS]-(a)<-[:LIKES]-(c) WHERE b.age > 20 RETURN a.name AS a, sum(a.age) AS s, avg(a.age) AS v, count(c) AS n, min(a.age) AS m", "MATCH p = (b)<-[:KNOWS]-(a)<-[:LIKES]-(c) WHERE b.age > 20 RETURN a.name AS a, sum(a.age) AS s, avg(a.age) AS v, count(c) AS n, min(a.age) AS m"),
+        ("MATCH (x)-[:KNOWS]->(a), (a)-[:KNOWS]->(y), (a)<-[:LIKES]-(z), (w) RETURN count(*) AS n", "MATCH p = (x)-[:KNOWS]->(a), q = (a)-[:KNOWS]->(y), r = (a)<-[:LIKES]-(z), (w) RETURN count(*) AS n"),
+        ("MATCH (a:Nobody)-[:KNOWS]->(b), (a)<-[:LIKES]-(c) RETURN count(*) AS n", "RETURN 0 AS n"),
+    ],
+)
+def test_counted_branches(spark, counted, whole):
+    people = spark.createDataFrame([(k, ["Person"], f"p{k}", 10 * k) for k in range(1, 7)], "_id bigint, _labels array<string>, name string, age bigint")
+    edge = lambda rows: spark.createDataFrame([(100 + i, *r) for i, r in enumerate(rows)], "_id bigint, _src bigint, _dst bigint")
+    tables = EdgeTable("KNOWS", edge([(1, 2), (1, 3), (1, 3), (2, 4), (4, 1), (5, 5)])), EdgeTable("LIKES", edge([(3, 1), (4, 1), (6, 1), (6, 2), (1, 5), (2, 5)]))
+    s = Session(spark, PropertyGraph((NodeTable(frozenset(["Person"]), people, True),), tables))
+    rows = lambda text: sorted(tuple(r) for r in s.run(text).collect())
+    assert rows(counted) == rows(whole) != []
+
+
 def test_undefined_variable(session):
     with pytest.raises(QueryError):
         session.run("MATCH (a) RETURN b.name AS x")
