@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,3 +111,42 @@ def shingle_hashes(text: bytes, n: int) -> np.ndarray:
 def lower_ascii(text: str | None) -> bytes:
     """UTF-8 bytes with A-Z in lower case; null is empty."""
     return (text or "").encode("utf-8", "surrogatepass").lower()
+
+
+#: The most keys that go in a filter, and its bits for each key: 4 MB at most. Beyond it callers shuffle all rows.
+FILTER_KEYS, FILTER_RATIO = 1 << 22, 8
+
+
+class KeyFilter:
+    """A bit map of hashed 64-bit keys. It lets some others through, by a rate that does not grow with the corpus."""
+
+    def __init__(self, packed: np.ndarray):
+        self.packed, self.shift = packed, np.uint64(64 - (len(packed) * 8).bit_length() + 1)
+
+    @staticmethod
+    def slots(keys: np.ndarray, bits: int) -> np.ndarray:
+        return ((keys.astype(np.int64).view(np.uint64) * np.uint64(_BASE)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = ((keys.astype(np.int64).view(np.uint64) * np.uint64(_BASE)) >> self.shift).astype(np.int64)
+        return (self.packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def key_filter(keys: DataFrame) -> Broadcast | None:
+    """A broadcast KeyFilter of a column of longs; None if they are more than FILTER_KEYS."""
+    spark = keys.sparkSession
+    n = keys.count()
+    if n > FILTER_KEYS:
+        return None
+    bits = max(16, (n * FILTER_RATIO).bit_length())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hit = np.zeros(1 << bits, bool)
+        for b in batches:
+            hit[KeyFilter.slots(b.column(0).to_numpy(zero_copy_only=False), bits)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(hit).tobytes(), 1)], pa.binary())], ["bits"])
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in keys.coalesce(4).mapInArrow(run, "bits binary").collect():
+        out |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return spark.sparkContext.broadcast(KeyFilter(out))

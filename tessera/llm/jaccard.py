@@ -10,10 +10,10 @@ and is verified on the full sets. Places count: a pair of sizes n and m needs mo
 
 Steps: (1) one pass over the texts gives the set's size and class (equal sets are one
 class) and a sketch of shingle counts over all documents; (2) a second pass gives
-postings of prefixes, one class once a task; (3) two rounds compare the members of each
-posting list with a few heads of it only, which joins most groups of near copies in linear work; (4)
-what is still in different components and shares enough is compared exactly, so no
-link is lost; (5) components. Only sets of candidates are shuffled for verification.
+postings of prefixes, one class once a task; (3) the members of each posting list are compared
+with a few heads of it only, which joins most groups of near copies in linear work; (4)
+what is still in different groups and shares enough is compared exactly, so no
+link is lost; (5) components of the groups. Candidates must also pass a bound by parity maps of the whole sets. Only sets of candidates are shuffled for verification.
 """
 
 from __future__ import annotations
@@ -24,21 +24,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, prepare, shingle_hashes
+from .common import cut, key_filter, lower_ascii, prepare, shingle_hashes
 from .components import components
 
 SHINGLE, SIMILARITY = 5, (80, 100)
 #: log2 of the sketch's counters. The sketch only orders shingles; any order gives the same links.
-SKETCH_BITS, SLICE_BITS = 23, 16
-FILTER_BITS = 22
+SKETCH_BITS, SLICE_BITS = 23, 19
 #: The largest number of shared prefix shingles a document may ask for, and the cost of a
 #: verification as posting reads for each shingle of the set.
 MOST_MATCHES, VERIFY_COST = 4, 0.1
-#: Heads of each list in the two rounds of stars.
-HEADS = (3, 6)
+#: Random heads of each list in the round of stars.
+HEADS = 3
 #: Classes a task remembers to pass by copies; the memory is emptied when it is full.
 SEEN = 500_000
 
@@ -68,7 +67,23 @@ class _Seen:
         return False
 
 
-_SCAN = "doc_id long, cls long, n int, slice int, counts binary"
+#: Longs of a set's parity map, which bounds from below by how many shingles two sets differ.
+PARITY_WORDS = 8
+_PARITY = [f"m{i}" for i in range(PARITY_WORDS)]
+_SCAN = f"doc_id long, row long, cls long, n int, {', '.join(f'{m} long' for m in _PARITY)}, slice int, counts binary"
+
+
+def _parity(h: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY_WORDS buckets of hashes whether it holds an odd number."""
+    at = (h >> np.uint64(20)).astype(np.int64) & (64 * PARITY_WORDS - 1)
+    return np.packbits(np.bincount(at, minlength=64 * PARITY_WORDS).astype(np.uint8) & 1).view(np.int64)
+
+
+def _may(a: str, b: str, num: int, den: int) -> Column:
+    """Whether two sets can be similar: a shingle that only one has turns one bit, and a pair may differ by so many at most."""
+    turned = sum((F.bit_count(F.col(f"{a}_{m}").bitwiseXOR(F.col(f"{b}_{m}"))) for m in _PARITY), F.lit(0))
+    fits = (F.col(f"{a}_n") * den >= F.col(f"{b}_n") * num) & (F.col(f"{b}_n") * den >= F.col(f"{a}_n") * num)
+    return fits & (turned * (num + den) <= (F.col(f"{a}_n") + F.col(f"{b}_n")) * (den - num))
 
 
 def _scan(docs: DataFrame, shingle: int) -> DataFrame:
@@ -76,15 +91,16 @@ def _scan(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = np.zeros(1 << SKETCH_BITS, np.uint32), _Seen()
-        fields = [("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("slice", pa.int32()), ("counts", pa.binary())]
+        fields = [("doc_id", pa.int64()), ("row", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), *((m, pa.int64()) for m in _PARITY), ("slice", pa.int32()), ("counts", pa.binary())]
         schema, any_rows = pa.schema(fields), False
         pending: list[np.ndarray] = []
         for b in batches:
             any_rows = True
-            cls, size = [], []
-            for text in b.column(1).to_pylist():
+            cls, size, maps = [], [], np.zeros((b.num_rows, PARITY_WORDS), np.int64)
+            for i, text in enumerate(b.column(1).to_pylist()):
                 h = shingle_hashes(lower_ascii(text), shingle)
                 size.append(len(h))
+                maps[i] = _parity(h)
                 cls.append(_class_of(h) if len(h) else None)
                 if len(h) and not seen(cls[-1]):
                     pending.append((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
@@ -92,12 +108,12 @@ def _scan(docs: DataFrame, shingle: int) -> DataFrame:
                 sketch += np.bincount(np.concatenate(pending), minlength=len(sketch)).astype(np.uint32)
                 pending.clear()
             n = len(cls)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.int64()), pa.array(size, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cls, pa.int64()), pa.array(size, pa.int32()), *[pa.array(maps[:, i]) for i in range(PARITY_WORDS)], pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         if any_rows:
             width = 1 << SLICE_BITS
             parts = [zlib.compress(sketch[i : i + width].tobytes(), 1) for i in range(0, len(sketch), width)]
             n = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64()) for _ in range(3)], pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.int64()) for _ in _PARITY], pa.array(range(n), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
     return docs.mapInArrow(run, _SCAN)
 
@@ -202,28 +218,27 @@ def _live(postings: DataFrame) -> DataFrame:
     return postings.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(run, _POSTINGS)
 
 
-def _stars(lists: DataFrame, info: DataFrame, centre: bool, turns: list[int], num: int, den: int) -> DataFrame:
+def _stars(lists: DataFrame, info: DataFrame, turns: list[int], num: int, den: int) -> DataFrame:
     """Candidate pairs (a, b) of list members and heads of their lists: at most as many a member as a list has heads.
 
     Class names are hashes, so the least of them under a turn (an exclusive or) is a random member.
-    The centre is the member whose prefix has the fewest shingles that nobody shares: what a group was copied from.
+    One more head, the centre, is the member whose prefix has the fewest shingles that nobody shares: what a group was copied from.
     """
     dead = F.least(F.col("n") - F.ceil(F.col("n") * num / den) + F.col("matches") - F.col("live"), F.lit(1023)).cast("long")
-    rows = lists.join(info.select("cls", F.when(dead < 0, 0).otherwise(dead).alias("dead")), "cls") if centre else lists.withColumn("dead", F.lit(0).cast("long"))
+    rows = lists.join(info.select("cls", F.when(dead < 0, 0).otherwise(dead).alias("dead")), "cls")
     heads = [F.min(F.col("cls").bitwiseXOR(F.lit(t))).bitwiseXOR(F.lit(t)).alias(f"h{i}") for i, t in enumerate(turns)]
     # The ten low bits of the name make room for the count; the rest is joined back as it is.
     middle = F.min(F.shiftleft("dead", 53).bitwiseOR(F.shiftrightunsigned("cls", 10))).bitwiseAND(F.lit((1 << 53) - 1)).alias("middle")
     of_list = rows.groupBy("token").agg(middle, *heads)
-    names = F.array_distinct(F.array(*[F.struct(F.lit(False).alias("cut"), F.col(f"h{i}").alias("head")) for i in range(len(turns))], *([F.struct(F.lit(True).alias("cut"), F.col("middle").alias("head"))] if centre else [])))
+    whole = [F.struct(F.lit(False).alias("cut"), F.col(f"h{i}").alias("head")) for i in range(len(turns))]
+    names = F.array_distinct(F.array(*whole, F.struct(F.lit(True).alias("cut"), F.col("middle").alias("head"))))
     counted = lists.join(of_list, "token").select("cls", F.explode(names).alias("h")).groupBy("cls", "h").agg(F.count(F.lit(1)).alias("k"))
-    one = info.select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("matches").alias("am"), F.col("group").alias("ag"))
-    two = info.select(F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("matches").alias("bm"), F.col("group").alias("bg"))
-    whole = counted.where("not h.cut").select(F.col("cls").alias("a"), F.col("h.head").alias("b"), "k").join(two, "b")
-    part = counted.where("h.cut").select(F.col("cls").alias("a"), F.col("h.head").alias("head"), "k").join(two.withColumn("head", F.shiftrightunsigned("b", 10)), "head").drop("head")
-    both = whole.unionByName(part).join(one, "a") if centre else whole.join(one, "a")
-    fits = (F.col("an") * den >= F.col("bn") * num) & (F.col("bn") * den >= F.col("an") * num)
-    near = both.where((F.col("ag") != F.col("bg")) & (F.col("k") >= F.least("am", "bm")) & fits)
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one, two = (info.select(F.col("cls").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "matches", *_PARITY)]) for x in "ab")
+    near = counted.where("not h.cut").select(F.col("cls").alias("a"), F.col("h.head").alias("b"), "k").join(two, "b")
+    centred = counted.where("h.cut").select(F.col("cls").alias("a"), F.col("h.head").alias("head"), "k").join(two.withColumn("head", F.shiftrightunsigned("b", 10)), "head").drop("head")
+    both = near.unionByName(centred).join(one, "a")
+    kept = both.where((F.col("a") != F.col("b")) & (F.col("k") >= F.least("a_matches", "b_matches")) & _may("a", "b", num, den))
+    return kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _enough(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -231,47 +246,25 @@ def _enough(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * shared >= num * (len(a) + len(b) - shared)
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bit map of hashed ids, of 2^FILTER_BITS bits whatever their number. It lets some others through."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for b in batches:
-            bits[_slots(b.column(0).to_numpy(zero_copy_only=False))] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["bits"])
-
-    out = np.zeros(1 << FILTER_BITS, bool)
-    for r in ids.coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.unpackbits(np.frombuffer(zlib.decompress(r["bits"]), np.uint8)).astype(bool)
-    return out
-
-
-def _slots(ids: np.ndarray) -> np.ndarray:
-    return ((ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes that are similar enough, as pairs (a, b) of their first documents."""
-    spark = docs.sparkSession
-    first = lambda x: classes.select(F.col("cls").alias(x), F.col("first").alias(f"{x}_id"))
-    named = cut(pairs.join(first("a"), "a").join(first("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
-    wanted = named.select("a").union(named.select("b")).distinct()
-    sent = spark.sparkContext.broadcast(_filter_of(wanted))
+    """The pairs (a, b) of classes that are similar enough. The sets are made again from a row of each class."""
+    row = lambda x: classes.select(F.col("cls").alias(x), F.col("row").alias(f"{x}_row"))
+    named = cut(pairs.join(row("a"), "a").join(row("b"), "b"))
+    wanted = named.select("a_row").union(named.select("b_row")).distinct()
+    sent = key_filter(wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
+        hits = sent.value if sent is not None else None
         for b in batches:
-            ids = b.column(0).fill_null(-1)
-            hit = bits[_slots(ids.to_numpy(zero_copy_only=False))]
-            if not hit.any():
+            key, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+            at = np.flatnonzero(hits(key)) if hits is not None else np.arange(b.num_rows)
+            if not len(at):
                 continue
-            keep, raw = [], []
-            texts = b.column(1)
-            for i in np.flatnonzero(hit):
-                h = shingle_hashes(lower_ascii(texts[int(i)].as_py()), shingle)
-                keep.append(ids[int(i)].as_py())
+            raw = []
+            for i in at.tolist():
+                h = shingle_hashes(lower_ascii(texts[i].as_py()), shingle)
                 raw.append(np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes())  # the upper 48 bits
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(raw, pa.binary())], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[at], pa.int64()), pa.array(raw, pa.binary())], ["row", "set"])
 
     def unpack(raw: bytes) -> np.ndarray:
         wide = np.zeros((len(raw) // 6, 8), np.uint8)
@@ -284,10 +277,36 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: in
             keep = pa.array(np.flatnonzero(ok))
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], ["a", "b"])
 
-    held = docs.mapInArrow(sets, "id long, set binary")
-    with_a = named.join(held.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    with_b = with_a.join(held.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return with_b.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long").distinct()
+    held = docs.select("row", "text").mapInArrow(sets, "row long, set binary")
+    with_a = named.join(held.select(F.col("row").alias("a_row"), F.col("set").alias("set_a")), "a_row")
+    with_b = with_a.join(held.select(F.col("row").alias("b_row"), F.col("set").alias("set_b")), "b_row")
+    return cut(with_b.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long").distinct())
+
+
+def _useful(lists: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+    """Postings (token, cls, n, matches, group, at) of lists with members of different groups, that can help any pair.
+
+    For a partner of m shingles, overlap is at least num * (n + m) / (num + den), and of the first n - overlap + l
+    shingles l are shared. So a shingle further back serves for small partners only, and often for none in its list.
+    """
+    open_ = lists.join(info.select("cls", "n", "matches", "group", *_PARITY), "cls")
+    of_list = open_.groupBy("token").agg(F.min("n").alias("least"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi")
+    fits = (F.col("n") - F.col("at") - 1 + F.col("matches")) * (num + den) >= (F.col("n") + F.col("least")) * num
+    return open_.join(of_list.select("token", "least"), "token").where(fits).drop("least")
+
+
+def _met(useful: DataFrame, num: int, den: int) -> DataFrame:
+    """A row for each prefix shingle that two classes of different groups share, if they can be similar at all."""
+    side = lambda x: useful.select("token", F.col("cls").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "matches", "group", "at", *_PARITY)])
+    spare = F.least("a_matches", "b_matches") - F.ceil((F.col("a_n") + F.col("b_n")) * num / (num + den))
+    early = (F.col("a_at") < F.col("a_n") + spare) & (F.col("b_at") < F.col("b_n") + spare)
+    return side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("a_group") != F.col("b_group")) & early & _may("a", "b", num, den))
+
+
+def _across(useful: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs (a, b) of classes in different groups that share as many prefix shingles as either asks for."""
+    counted = _met(useful, num, den).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first(F.least("a_matches", "b_matches")).alias("asked"))
+    return counted.where("k >= asked").select("a", "b")
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -296,48 +315,35 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle:
     ``similarity`` is a fraction: sets link if den * intersection >= num * union. Texts are lower-cased
     in A-Z; words are what ASCII white space leaves. A text of fewer words than a shingle is one
     shingle; a null text or one without words is an empty set, linked with nothing. A component is
-    named by its smallest doc_id. Repeated rows stay, each with its own result; rows without an id
-    take the component of their set (null if no row of it has one). An empty table gives an empty result.
+    named by its smallest doc_id. Repeated rows stay, each with its own result. Rows without an id link like
+    others and take their component's name, which is null if no row of it has an id. An empty table gives an empty result.
     """
     num, den = similarity
     spark = df.sparkSession
     prepare(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"))
     scan = cut(_scan(docs, shingle))
     rows = scan.where("slice is null").select("doc_id", "cls", "n")
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"))
+    classes = scan.where("cls is not null").groupBy("cls").agg(F.min("row").alias("row"), *[F.first(m).alias(m) for m in _PARITY])
     levels = spark.sparkContext.broadcast(_levels(scan))
     live = cut(_live(_postings(docs, levels, shingle, num, den)))
 
     sizes = live.groupBy("cls").agg(F.count(F.lit(1)).alias("live"), F.first("n").alias("n"), F.first(F.col("place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))).alias("matches"))
-    info = cut(sizes.join(classes, "cls").withColumn("group", F.col("first")))
-    lists, linked = live.select("token", "cls", F.shiftright("place", _PLACE_BITS).alias("at")), None
+    info = cut(sizes.join(classes, "cls"))
+    lists = live.select("token", "cls", F.shiftright("place", _PLACE_BITS).alias("at"))
     # Random members by turns of the 63-bit names.
-    turns = [(0x2545F4914F6CDD1D * (i + 1)) & ((1 << 63) - 1) for i in range(sum(HEADS))]
-    for turn, heads in enumerate(HEADS):
-        own = turns[sum(HEADS[:turn]) : sum(HEADS[: turn + 1])]
-        found = _verified(docs, _stars(lists, info, turn == 0, own, num, den), classes, shingle, num, den)
-        linked = cut(found if linked is None else found.union(linked))
-        groups = components(linked).select(F.col("id").alias("first"), F.col("component").alias("grp"))
-        info = cut(info.drop("group").join(groups, "first", "left").select("cls", "live", "n", "matches", "first", F.coalesce("grp", "first").alias("group")))
-        grouped = lists.join(info.select("cls", "group"), "cls")
-        mixed = grouped.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token")
-        lists = cut(lists.join(mixed, "token"))
-
-    # For a partner of m shingles, overlap is at least num * (n + m) / (num + den), and of the first n - overlap + l
-    # shingles l are shared. So a shingle further back serves for small partners only, and often for none in its list.
-    open_ = lists.join(info.select("cls", "n", "matches", "group"), "cls")
-    least = open_.groupBy("token").agg(F.min("n").alias("least"))
-    useful = cut(open_.join(least, "token").where((F.col("n") - F.col("at") - 1 + F.col("matches")) * (num + den) >= (F.col("n") + F.col("least")) * num).drop("least"))
-    side = lambda x: useful.select("token", F.col("cls").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "matches", "group", "at")])
-    fits = (F.col("a_n") * den >= F.col("b_n") * num) & (F.col("b_n") * den >= F.col("a_n") * num)
-    spare = F.least("a_matches", "b_matches") - F.ceil((F.col("a_n") + F.col("b_n")) * num / (num + den))
-    early = (F.col("a_at") < F.col("a_n") + spare) & (F.col("b_at") < F.col("b_n") + spare)
-    across = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("a_group") != F.col("b_group")) & fits & early)
-    counted = across.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first(F.least("a_matches", "b_matches")).alias("asked"))
-    more = cut(_verified(docs, counted.where("k >= asked").select("a", "b"), classes, shingle, num, den))
-
-    named = components(linked.union(more)).select(F.col("id").alias("first"), "component")
-    of_class = classes.join(named, "first", "left").select("cls", F.coalesce("component", "first").alias("component"))
-    out = rows.join(of_class, "cls", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    turns = [(0x2545F4914F6CDD1D * (i + 1)) & ((1 << 63) - 1) for i in range(HEADS)]
+    near = _verified(docs, _stars(lists, info, turns, num, den), info, shingle, num, den)
+    groups = components(near).select(F.col("id").alias("cls"), F.col("component").alias("grp"))
+    info = cut(info.join(groups, "cls", "left").withColumn("group", F.coalesce("grp", "cls")).drop("grp", "live"))
+    useful = cut(_useful(lists, info, num, den))
+    more = _verified(docs, _across(useful, num, den), info, shingle, num, den)
+    # Groups are vertices now; what no link joins stays as it is.
+    of = lambda x: info.select(F.col("cls").alias(x), F.col("group").alias(f"{x}_group"))
+    named = components(more.join(of("a"), "a").join(of("b"), "b"), "a_group", "b_group").select(F.col("id").alias("group"), "component")
+    of_class = info.join(named, "group", "left").select("cls", F.coalesce("component", "group").alias("group"))
+    linked = cut(rows.join(of_class, "cls", "left").select("doc_id", "n", F.coalesce("group", "cls").alias("group")))
+    least = linked.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    out = linked.join(least, "group", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
