@@ -113,8 +113,9 @@ def lower_ascii(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-#: The most keys that go in a filter, and its bits for each key: 4 MB at most. Beyond it callers shuffle all rows.
-FILTER_KEYS, FILTER_RATIO = 1 << 22, 8
+#: The most keys that go in a filter, its bits for each key, and log2 of its least and most bits: 16 MB at most.
+#: Beyond so many keys callers shuffle all rows.
+FILTER_KEYS, FILTER_RATIO, FILTER_BITS = 1 << 24, 128, (20, 27)
 
 
 class KeyFilter:
@@ -138,7 +139,7 @@ def key_filter(keys: DataFrame) -> Broadcast | None:
     n = keys.count()
     if n > FILTER_KEYS:
         return None
-    bits = max(16, (n * FILTER_RATIO).bit_length())
+    bits = min(max((n * FILTER_RATIO).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = np.zeros(1 << bits, bool)

@@ -184,38 +184,37 @@ def _postings(docs: DataFrame, levels: Broadcast, shingle: int, num: int, den: i
     return docs.mapInArrow(run, _POSTINGS)
 
 
-def _live(postings: DataFrame) -> DataFrame:
-    """Postings whose token another class has too, a class once a list."""
+def _live(postings: DataFrame, num: int, den: int) -> DataFrame:
+    """Postings whose token another class of a near enough size has too, a class once a list.
+
+    Lists come sorted by size, so a member has such a partner if one of its neighbours is near enough.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _POSTINGS.split(", ")]
-        head = [np.empty(0, np.int64) for _ in range(4)]  # the first row of the list that may go on
-        written, last = False, (None, None)  # whether that row is written; token and class of the last row
-
-        def emit(new: list[np.ndarray]) -> pa.RecordBatch | None:
-            nonlocal head, written, last
-            t, c = new[0], new[1]
-            fresh = np.concatenate([[(t[0], c[0]) != last], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])
-            last = (t[-1], c[-1])
-            t, c, n, m = (np.concatenate([h, x[fresh]]) for h, x in zip(head, new, strict=True))
-            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            size = np.diff(np.append(first, len(t)))
-            live = np.repeat(size, size) > 1
-            if written:
-                live[0] = False
-            written = bool(size[-1] > 1) or (written and len(first) == 1)
-            head = [x[first[-1] : first[-1] + 1] for x in (t, c, n, m)]
-            keep = np.flatnonzero(live)
-            if not len(keep):
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(c[keep]), pa.array(n[keep].astype(np.int32)), pa.array(m[keep].astype(np.int32))], names)
+        kinds = (np.int64, np.int64, np.int32, np.int32)
+        held, met = [np.empty(0, k) for k in kinds], False  # the last row so far, and whether the one before it is near enough
 
-        for b in batches:
-            got = emit([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]) if b.num_rows else None
-            if got is not None:
-                yield got
+        def rows(cols: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in cols], names)
 
-    return postings.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(run, _POSTINGS)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [np.concatenate([h, b.column(i).to_numpy(zero_copy_only=False).astype(k)]) for i, (h, k) in enumerate(zip(held, kinds, strict=True))]
+            fresh = np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])
+            cols = [x[fresh] for x in cols]
+            token, n = cols[0], cols[2].astype(np.int64)
+            near = (token[1:] == token[:-1]) & (n[:-1] * den >= n[1:] * num)
+            live = np.concatenate([near, [False]]) | np.concatenate([[met], near])
+            held, met = [x[-1:] for x in cols], bool(live[-1])
+            live[-1] = False
+            if live.any():
+                yield rows(cols, live)
+        if met:
+            yield rows(held, np.ones(1, bool))
+
+    return postings.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(run, _POSTINGS)
 
 
 def _stars(lists: DataFrame, info: DataFrame, turns: list[int], num: int, den: int) -> DataFrame:
@@ -289,10 +288,11 @@ def _useful(lists: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
     For a partner of m shingles, overlap is at least num * (n + m) / (num + den), and of the first n - overlap + l
     shingles l are shared. So a shingle further back serves for small partners only, and often for none in its list.
     """
-    open_ = lists.join(info.select("cls", "n", "matches", "group", *_PARITY), "cls")
+    open_ = lists.join(info.select("cls", "n", "matches", "group"), "cls")
     of_list = open_.groupBy("token").agg(F.min("n").alias("least"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi")
     fits = (F.col("n") - F.col("at") - 1 + F.col("matches")) * (num + den) >= (F.col("n") + F.col("least")) * num
-    return open_.join(of_list.select("token", "least"), "token").where(fits).drop("least")
+    kept = open_.join(of_list.select("token", "least"), "token").where(fits).drop("least")
+    return kept.join(info.select("cls", *_PARITY), "cls")
 
 
 def _met(useful: DataFrame, num: int, den: int) -> DataFrame:
@@ -327,7 +327,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle:
     rows = scan.where("slice is null").select("doc_id", "cls", "n")
     classes = scan.where("cls is not null").groupBy("cls").agg(F.min("row").alias("row"), *[F.first(m).alias(m) for m in _PARITY])
     levels = spark.sparkContext.broadcast(_levels(scan))
-    live = cut(_live(_postings(docs, levels, shingle, num, den)))
+    live = cut(_live(_postings(docs, levels, shingle, num, den), num, den))
 
     sizes = live.groupBy("cls").agg(F.count(F.lit(1)).alias("live"), F.first("n").alias("n"), F.first(F.col("place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))).alias("matches"))
     info = cut(sizes.join(classes, "cls"))
