@@ -82,12 +82,25 @@ _simple("right", 2, 2, lambda a, n: F.when(n <= 0, F.substring(a, 1, 0)).otherwi
 FUNCTIONS["substring"] = (2, 3, lambda s, a, n=None: s.make(lambda x, y: F.substring(x, y + 1, F.lit(2**31 - 1)), a) if n is None else s.make(lambda x, y, z: F.substring(x, y + 1, z), a, n))
 
 
-def _trimmer(one: Callable[..., Column]) -> Callable[..., Expr]:
-    return lambda s, c=None: s.make(lambda x: one(x), kind=_STRING) if c is None else s.make(lambda x, y: one(x, y), c, kind=_STRING)
+def _trim_bytes(s: Expr, c: Expr | None, ends: str) -> Expr:
+    """Bytes without leading or trailing ones, by their hexadecimal digits."""
+
+    def f(x: Column, *given: Column) -> Column:
+        cut = F.concat(F.lit("("), F.hex(given[0]) if given else F.lit("20"), F.lit(")+"))
+        front, back = F.concat(F.lit("^"), cut), F.concat(cut, F.lit("$"))
+        out = F.hex(x)
+        out = F.regexp_replace(out, front, F.lit("")) if "l" in ends else out
+        return F.unhex(F.regexp_replace(out, back, F.lit("")) if "r" in ends else out)
+
+    return s.make(f, *([c] if c is not None else []), kind=T.BinaryType())
+
+
+def _trimmer(one: Callable[..., Column], ends: str) -> Callable[..., Expr]:
+    return lambda s, c=None: _trim_bytes(s, c, ends) if s.is_(T.BinaryType) else s.make(lambda x: one(x), kind=_STRING) if c is None else s.make(lambda x, y: one(x, y), c, kind=_STRING)
 
 
 for _n, _f in {"btrim": F.btrim, "trim": F.btrim, "ltrim": F.ltrim, "rtrim": F.rtrim}.items():
-    FUNCTIONS[_n] = (1, 2, _trimmer(_f))
+    FUNCTIONS[_n] = (1, 2, _trimmer(_f, {"ltrim": "l", "rtrim": "r"}.get(_n, "lr")))
 
 
 def _normalized(form: str, text: Column, test: bool) -> Column:
@@ -184,6 +197,20 @@ def _path(names: str, f: Callable[[Column], Column], kind: T.DataType | None = N
 
 
 _path("nodes", lambda p: p["nodes"])
+
+
+def _elements(p: Column) -> Column:
+    """Nodes and edges in turn, each as its id with its labels or its type."""
+
+    def one(i: Column) -> Column:
+        node, edge = F.try_element_at(p["nodes"], (i / 2 + 1).cast("int")), F.try_element_at(p["edges"], (i / 2 + 1).cast("int"))
+        even = i % 2 == 0
+        return F.struct(F.when(even, node["id"]).otherwise(edge["id"]).alias("id"), F.when(even, node["labels"]).alias("labels"), F.when(~even, edge["type"]).alias("type"))
+
+    return F.transform(F.sequence(F.lit(0), 2 * F.size(p["edges"])), one)
+
+
+_path("elements", _elements)
 _path("relationships edges", lambda p: p["edges"])
 
 
@@ -247,7 +274,26 @@ def _between(a: Expr, b: Expr) -> Expr:
 _simple("duration.indays", 2, 2, lambda a, b: duration_struct(F.lit(0), F.date_diff(b, a), F.lit(0.0)))
 _simple("date.truncate", 2, 2, lambda u, d: F.call_function("trunc", d, u), T.DateType())
 _simple("datetime.truncate", 2, 2, lambda u, d: F.call_function("date_trunc", u, d), T.TimestampType())
-_simple("time zoned_time localtime local_time", 1, 1, lambda a: F.date_format(F.concat(F.lit("1970-01-01 "), F.regexp_extract(a.cast("string"), r"(\d\d:\d\d(:\d\d(\.\d+)?)?)", 1)).cast("timestamp_ntz"), "HH:mm:ss.SSSSSS"), _STRING)
+
+
+def _clock(zoned: bool) -> Callable[[Column], Column]:
+    """A time of day as its parts; offset is minutes east of UTC, null for a local time, 0 where a zoned one names none."""
+
+    def f(a: Column) -> Column:
+        text = F.when(F.typeof(a) == "timestamp", F.date_format(a.try_cast("timestamp"), "HH:mm:ss.SSSSSS")).otherwise(a.cast("string"))
+        got = lambda k: F.regexp_extract(text, r"(\d\d):?(\d\d)(?::?(\d\d)(?:[.,](\d{1,9}))?)?(?:([+-])(\d\d):?(\d\d))?Z?\]?$", k)
+        number = lambda k: F.when(got(k) == "", 0).otherwise(got(k).try_cast("long"))
+        east = number(6) * 60 + number(7)
+        offset = F.when(got(5) == "-", -east).otherwise(east) if zoned else F.lit(None).cast("long")
+        nanos = F.rpad(got(4), 9, "0").try_cast("long")
+        parts = F.struct(number(1).alias("hour"), number(2).alias("minute"), number(3).alias("second"), F.when(got(4) == "", 0).otherwise(nanos).alias("nanosecond"), offset.alias("offset"))
+        return F.when(got(1) != "", parts)
+
+    return f
+
+
+_simple("time zoned_time", 1, 1, _clock(True))
+_simple("localtime local_time", 1, 1, _clock(False))
 _simple("datetime.fromepoch", 2, 2, lambda s, n: F.timestamp_micros(s * 1_000_000 + (n / 1000).cast("long")))
 _simple("datetime.fromepochmillis", 1, 1, F.timestamp_millis)
 

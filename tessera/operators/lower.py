@@ -62,6 +62,7 @@ class Lower:
         self.df: DataFrame | None = None  # None: one row without columns
         self.scope: dict[str, Var] = {}
         self.known: dict[Node, Expr] = {}  # expressions that are columns already (grouping keys, aggregates)
+        self.outer_rows: DataFrame | None = None  # in a subquery: the distinct outer rows it runs for
         self.weights: list[str] = []  # how many rows a row stands for, as columns to multiply
 
     # ------------------------------------------------------------ working table
@@ -73,7 +74,7 @@ class Lower:
 
     def fork(self) -> "Lower":
         out = Lower(self.spark, self.graph, self.params, self.session)
-        out.df, out.scope, out.imported, out.partition = self.df, dict(self.scope), self.imported, self.partition
+        out.df, out.scope, out.imported, out.partition, out.outer_rows = self.df, dict(self.scope), self.imported, self.partition, self.outer_rows
         return out
 
     def keep(self, f: Callable[[DataFrame], DataFrame]) -> None:
@@ -104,8 +105,9 @@ class Lower:
         if not items:
             return self.expr(F.array().cast("array<string>"))
         kinds = {type(e.type) for e in items}
-        if T.StringType in kinds and len(kinds - {T.NullType}) > 1:
-            items = [e.make(lambda c: c.cast("string")) for e in items]
+        scalar = (T.StringType, T.BooleanType, T.LongType, T.IntegerType, T.DoubleType, T.DecimalType, T.DateType, T.TimestampType)
+        if len({_family(e) for e in items} - {"null"}) > 1 and all(issubclass(k, (*scalar, T.NullType)) for k in kinds):
+            items = [e.make(lambda c: c.cast("variant")) for e in items]
         return items[0].make(lambda *c: F.array(*c), *items[1:])
 
     def struct(self, fields: list[tuple[str, Expr]]) -> Expr:
@@ -256,6 +258,9 @@ class Lower:
             a, b = self._ident(n.left), self._ident(n.right)
             if _family(a) != _family(b) and "null" not in (_family(a), _family(b)):
                 return a.make(lambda x, y: F.when(x.isNotNull() & y.isNotNull(), F.lit(op == "<>")), b)
+            if a.is_(T.ArrayType) and b.is_(T.ArrayType):
+                same = lambda x, y: _same_lists(x, y, max(_depth(a.type), _depth(b.type)))
+                return a.make(same if op == "=" else (lambda x, y: ~same(x, y)), b, kind=T.BooleanType())
             return a.make((lambda x, y: x == y) if op == "=" else (lambda x, y: x != y), b, kind=T.BooleanType())
         a, b = self.ex(n.left), self.ex(n.right)
         if op in ("<", "<=", ">", ">="):
@@ -267,6 +272,10 @@ class Lower:
     def arithmetic(self, op: str, a: Expr, b: Expr) -> Expr:
         time = (T.DateType, T.TimestampType, T.TimestampNTZType)
         if op in ("+", "||"):
+            if a.is_(T.StructType) and b.is_(T.StructType) and a.type.names == b.type.names == ["nodes", "edges"]:
+                meet = lambda x, y: F.try_element_at(x["nodes"], F.lit(-1))["id"] == F.try_element_at(y["nodes"], F.lit(1))["id"]
+                rest = lambda y: F.slice(y["nodes"], 2, F.greatest(F.size(y["nodes"]) - 1, F.lit(0)))
+                return a.make(lambda x, y: F.when(meet(x, y), F.struct(F.concat(x["nodes"], rest(y)).alias("nodes"), F.concat(x["edges"], y["edges"]).alias("edges"))), b)
             if a.is_(T.ArrayType) or b.is_(T.ArrayType):
                 if not a.is_(T.ArrayType):
                     return a.make(lambda x, y: F.concat(F.array(x), y), b)
@@ -580,6 +589,7 @@ class Lower:
         keys = [v.id for v in used.values()]
         if keys:
             inner.df = self.frame().select(*[c for v in used.values() for c in v.columns()]).dropDuplicates(keys)
+            inner.outer_rows = inner.df
         inner.scope, inner.imported = dict(used), dict(used)
         return inner, keys
 
@@ -728,12 +738,18 @@ class Lower:
     def _do_for(self, c: Node) -> None:
         out, at = fresh(c.var), fresh("at")
         if c.list.kind == "table":
-            inner = self.fork()
-            inner.df, inner.scope = None, {}
-            inner.query(c.list.query)
+            query = c.list.query
+            if not isinstance(query, Node):
+                if query not in self.session.tables:
+                    raise QueryError(f"no table {query}", code="undefined-variable")
+                query = self.session.tables[query]
+            inner = Lower(self.spark, self.graph, self.params, self.session)
+            inner.query(query)
             row = inner.struct([(k, inner.ex(Node("var", name=k))) for k in inner.scope])
-            rows = inner.frame().select(row.col.alias(out), (F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1).alias(at))
-            self.df = self.frame().crossJoin(rows)
+            rows = inner.frame().select(row.col.alias(out))
+            if c.counter:
+                rows = _numbered(rows, at)
+            self.df = rows if self.df is None else self.df.crossJoin(rows)
         else:
             e = self.ex(c.list)
             if not e.is_(T.ArrayType):
@@ -795,8 +811,13 @@ class Lower:
         elif n.op == "intersect":
             out = a.intersectAll(b) if n.all else a.intersect(b)
         else:
-            some = a.limit(1).select(F.lit(1).alias(fresh("some")))
-            out = a.unionByName(b.join(some, F.lit(True), "left_anti"))
+            ids = {v.id: fresh("key") for v in self.imported.values()}
+            if ids:  # for each outer row
+                some = a.select(*[name_of(k).alias(x) for k, x in ids.items()])
+                test = reduce(lambda x, y: x & y, [name_of(k).eqNullSafe(name_of(x)) for k, x in ids.items()])
+            else:
+                some, test = a.limit(1).select(F.lit(1).alias(fresh("some"))), F.lit(True)
+            out = a.unionByName(b.join(some, test, "left_anti"))
         self.df, self.scope = out, {k: Value(v) for k, v in shown.items()}
 
     # ------------------------------------------------------------ projection
@@ -835,7 +856,54 @@ class Lower:
         if limit is not None:
             self.df = self.frame().limit(self.constant(limit))
 
+    def folded(self, n: Node) -> Node:
+        """The expression with aggregates over group variables as folds of their lists."""
+
+        def change(x: Node) -> Node:
+            if x.kind == "call_fn" and x.name in AGGREGATES and x.args and x.args[0].kind != "star":
+                over = [y.name for y in x.args[0].walk() if y.kind == "var" and getattr(self.scope.get(y.name), "role", "") == "group"]
+                if over and x.name not in ("collect", "percentile_cont", "percentile_disc", "percentilecont", "percentiledisc"):
+                    return Node("fold", name=x.name, var=over[0], body=x.args[0], distinct=x.distinct)
+            return x
+
+        return n.map(change)
+
+    def _ex_fold(self, n: Node) -> Expr:
+        """An aggregate over the elements that a group variable is bound to in one row."""
+        source = self.ex(Node("var", name=n.var))
+        f, shape = self.lam(n.var, source, n.body)
+        items = F.filter(F.transform(source.col, f), lambda x: x.isNotNull())
+        if n.distinct:
+            items = F.array_distinct(items)
+        total = lambda a: F.aggregate(a, F.lit(0).cast("double" if not shape.integral else "bigint"), lambda x, y: x + y)
+        size = F.size(items)
+        mean = F.when(size > 0, total(items) / size)
+        spread = F.aggregate(items, F.lit(0.0), lambda x, y: x + F.pow(y.cast("double") - mean, 2))
+        col = {
+            "count": lambda: size.cast("bigint"), "sum": lambda: total(items), "avg": lambda: mean, "min": lambda: F.array_min(items), "max": lambda: F.array_max(items), "collect_list": lambda: items,
+            "stddev_pop": lambda: F.when(size > 0, F.sqrt(spread / size)), "stdevp": lambda: F.when(size > 0, F.sqrt(spread / size)),
+            "stddev_samp": lambda: F.when(size > 1, F.sqrt(spread / (size - 1))), "stdev": lambda: F.when(size > 1, F.sqrt(spread / (size - 1))).otherwise(F.when(size > 0, 0.0)),
+        }[n.name]()
+        return self.expr(col)
+
+    def _fn_make_path(self, args: list[Node]) -> Expr:
+        """PATH[node, edge, node, ...]: null where an edge does not join its neighbours."""
+        found = [self.var(a.name) if a.kind == "var" else None for a in args]
+        if len(found) % 2 == 0 or not all(isinstance(v, EdgeVar if i % 2 else NodeVar) for i, v in enumerate(found)):
+            raise QueryError("a path is made of nodes with edges between them", code="type")
+        nodes = F.array(*[self.node_value(v, True).col for v in found[::2]])
+        edges = [self.edge_value(v, True).col for v in found[1::2]]
+        joined = F.lit(True)
+        for i in range(1, len(found), 2):
+            a, e, b = (found[i + k] for k in (-1, 0, 1))
+            ends = lambda x, y, e=e: (name_of(e.src) == name_of(x.id)) & (name_of(e.dst) == name_of(y.id))
+            joined = joined & (ends(a, b) | ends(b, a))
+        kinds = ", ".join(f"`{k}`:{t.simpleString()}" for k, t in self.graph.edge_props().items())
+        none = F.array().cast(f"array<struct<id:bigint,type:string,src:bigint,dst:bigint,properties:{f'struct<{kinds}>' if kinds else 'string'}>>")
+        return self.expr(F.when(joined, F.struct(nodes.alias("nodes"), (F.array(*edges) if edges else none).alias("edges"))))
+
     def _do_project(self, c: Node) -> None:
+        c = c.replace(items=[(self.folded(e), k, x) for e, k, x in c.items], order=[self.folded(o) for o in c.order])
         items = list(c.items)
         if c.star:
             items = [(Node("var", name=k), k, False) for k in self.scope if not k.startswith("_anon")] + items
@@ -856,9 +924,9 @@ class Lower:
             self.scope = before | out
             self.where(c.having)
         if c.distinct:
-            keys = [v.id for v in out.values()] + self.partition
+            keys = [v.id for v in out.values()] + self.partition + [v.id for v in self.imported.values()]
             self.scope = out
-            self.df = self.frame().dropDuplicates(keys)
+            self.df = self.frame().dropDuplicates(list(dict.fromkeys(keys)))
             self.known = {e: self.ex(Node("var", name=k)) for e, k, _ in items if e.kind != "var"}
         self.scope = (out if c.distinct else before | out) if not aggregated else (self.scope | out)
         self.order(order, c.skip, c.limit)
@@ -880,8 +948,8 @@ class Lower:
                         raise QueryError("aggregates cannot be nested", code="nested-aggregation")
                     calls[n] = None
         cols, kept, bundles = list(self.partition), {}, {}
-        for v in self.imported.values():
-            cols += [x for x in v.columns() if x not in cols]
+        cols += [v.id for v in self.imported.values() if v.id not in cols]
+        carried = [x for v in self.imported.values() for x in v.columns() if x not in cols]
         for k in keys:
             v = self.scope.get(k.name) if k.kind == "var" else None
             if isinstance(v, (NodeVar, EdgeVar)):
@@ -893,39 +961,57 @@ class Lower:
         made, after = {}, []
         for n in calls:
             made[n] = fresh(n.name)
-            col, finish = self.aggregate(n)
-            after.append((made[n], finish))
+            col, empty = self.aggregate(n)
+            after.append((made[n], empty))
             calls[n] = col
         rest = [F.first(name_of(x)).alias(x) for v in bundles.values() for x in v.columns() if x not in cols]
         aggs = [col.alias(made[n]) for n, col in calls.items()] + rest
+        if not keys and self.outer_rows is not None:  # an aggregate without keys has a row for each outer row, whether or not it matched
+            self.ungrouped(aggs, after)
+        else:
+            self.grouped(cols, aggs + [F.first(name_of(x)).alias(x) for x in carried])
         self.weights = []
-        grouped = self.frame().groupBy(*dict.fromkeys(cols))
-        self.df = grouped.agg(*aggs) if aggs else grouped.agg(F.count(F.lit(1)).alias(fresh("n")))
-        for name, finish in after:
-            if finish is not None:
-                self.df = self.df.withColumn(name, finish(name_of(name)))
         self.scope = dict(self.imported) | bundles | {k.name: Value(c) for k, c in kept.items() if k.kind == "var"}
         self.known = {k: self.expr(name_of(c)) for k, c in kept.items()} | {n: self.expr(name_of(c)) for n, c in made.items()}
 
-    def aggregate(self, n: Node) -> tuple[Column, Callable[[Column], Column] | None]:
-        name = n.name
+    def grouped(self, cols: list[str], aggs: list[Column]) -> None:
+        by = self.frame().groupBy(*dict.fromkeys(cols))
+        self.df = by.agg(*aggs) if aggs else by.agg(F.count(F.lit(1)).alias(fresh("n")))
+
+    def ungrouped(self, aggs: list[Column], after: list[tuple[str, Column | None]]) -> None:
+        """Aggregates of each outer row; a row without matches gets those of an empty table."""
+        ids = list(dict.fromkeys([*self.partition, *(v.id for v in self.imported.values())]))
+        outer = self.outer_rows.dropDuplicates(ids)
+        self.grouped(ids, aggs)
+        named = {k: fresh("key") for k in ids}
+        right = self.df.withColumnsRenamed(named)
+        test = reduce(lambda a, b: a & b, [name_of(k).eqNullSafe(name_of(named[k])) for k in ids])
+        self.df = outer.join(right, test, "left").drop(*named.values())
+        for name, empty in after:
+            if empty is not None:
+                self.df = self.df.withColumn(name, F.coalesce(name_of(name), empty.cast(self.df.schema[name].dataType)))
+
+    def aggregate(self, n: Node) -> tuple[Column, Column | None]:
+        """The aggregate, and its value over no rows where that is not null."""
+        name, zero = n.name, F.lit(0)
         if n.args and n.args[0].kind == "star":
-            return (F.coalesce(F.sum(self.weight()), F.lit(0)) if self.weights else F.count(F.lit(1))), None
+            return (F.coalesce(F.sum(self.weight()), F.lit(0)) if self.weights else F.count(F.lit(1))), zero
         e = self._ident(n.args[0]) if name == "count" else self.ex(n.args[0])
         c = e.col
         if self.weights and not n.distinct and name in ("count", "sum", "avg"):
             rows = F.sum(F.when(c.isNotNull(), self.weight()))
             if name == "count":
-                return F.coalesce(rows, F.lit(0)), None
+                return F.coalesce(rows, zero), zero
             total = F.sum(c * self.weight())
-            return (F.coalesce(total, F.lit(0)) if name == "sum" else total.cast("double") / rows), None
+            return (F.coalesce(total, zero), zero) if name == "sum" else (total.cast("double") / rows, None)
         if name == "count":
-            return (F.count_distinct(c) if n.distinct else F.count(c)), None
+            return (F.count_distinct(c) if n.distinct else F.count(c)), zero
         if name in ("collect", "collect_list"):
-            return (F.collect_set(c) if n.distinct else F.collect_list(c)), (lambda x: F.sort_array(x)) if n.distinct and not e.is_(T.MapType) else None
+            sets = F.collect_set(c) if e.is_(T.MapType) else F.sort_array(F.collect_set(c))
+            return (sets if n.distinct else F.collect_list(c)), F.array()
         if name == "sum":
             col = F.sum_distinct(c) if n.distinct else F.sum(c)
-            return F.coalesce(col, F.lit(0)), None
+            return F.coalesce(col, zero), zero
         if name == "avg":
             return (F.call_function("avg", c) if not n.distinct else F.sum_distinct(c.cast("double")) / F.count_distinct(c)), None
         if name in ("min", "max"):
@@ -979,6 +1065,28 @@ class Lower:
         return self.frame().select(*[self.ex(Node("var", name=k)).col.alias(k) for k in self.scope])
 
 
+def _numbered(rows: DataFrame, at: str) -> DataFrame:
+    """Rows with their number from 0: those of a partition are counted first, so no task holds them all."""
+    part, nth = fresh("part"), fresh("nth")
+    marked = rows.withColumns({part: F.spark_partition_id(), nth: F.monotonically_increasing_id()})
+    counts = marked.groupBy(part).agg(F.count(F.lit(1)).alias(nth))  # a row for each partition
+    before = counts.select(name_of(part).alias("_p"), F.coalesce(F.sum(name_of(nth)).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    low = F.lit((1 << 33) - 1)
+    return marked.join(F.broadcast(before), name_of(part) == F.col("_p")).withColumn(at, F.col("_before") + name_of(nth).bitwiseAND(low)).drop(part, nth, "_p", "_before")
+
+
+def _depth(t: T.DataType) -> int:
+    return 1 + _depth(t.elementType) if isinstance(t, T.ArrayType) else 0
+
+
+def _same_lists(x: Column, y: Column, depth: int) -> Column:
+    """Equality of lists: false if any elements differ, else null if any comparison is null."""
+    one = (lambda a, b: a == b) if depth <= 1 else (lambda a, b: _same_lists(a, b, depth - 1))
+    tests = F.zip_with(x, y, one)
+    told = F.when(F.exists(tests, lambda t: ~t), False).when(F.exists(tests, lambda t: t.isNull()), None).otherwise(True)
+    return F.when(x.isNull() | y.isNull(), None).when(F.size(x) != F.size(y), False).otherwise(told)
+
+
 def _int_div(x: Column, y: Column) -> Column:
     """Whole division towards zero; division by zero is an error, as everywhere."""
     return F.call_function("div", x, y)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import Session
 from ..sources.tables import star_graph
+from . import language_queries
 
 _LIST: list[tuple[str, str, str]] = []
 
@@ -79,6 +80,7 @@ def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: Session(spark, star_graph(spark, sf_dir)).run(text)
 
 
+_LIST += language_queries.LIST
 TEXTS: dict[str, str] = {n: t for n, t, _ in _LIST}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _run(t) for n, t, _ in _LIST}
 ORACLES: dict[str, str] = {n: s for n, _, s in _LIST}

@@ -41,9 +41,8 @@ class Session:
     def run(self, text: str, params: dict[str, Any] | None = None) -> DataFrame:
         """The result of a program's last statement. Statements without a result give an empty table."""
         out: DataFrame | None = None
-        given = self.params | (params or {})
-        for s in parse(text, given, self.macros):
-            out = self.statement(s, given)
+        for s in parse(text, self.params | (params or {}), self.macros):
+            out = self.statement(s, self.params | (params or {}))  # a statement may have set some
         return out
 
     def _empty(self) -> DataFrame:
@@ -132,7 +131,7 @@ class Session:
         var = next(n.var for n in element.walk() if n.kind in ("node", "edge") and n.named)
         low = Lower(self.spark, self.graph(self.current), {}, self)
         low.match(Node("match", optional=False, mode="different", parts=[element], keep=None, where=None, shown=None))
-        cols = [low.ex(e if e.kind != "var" or e.name != var else e).col for e in on]
+        cols = [low.ex(e).col for e in on]
         rows = low.frame().select(*[c.alias(f"k{i}") for i, c in enumerate(cols)])
         names = rows.columns
         bad = None
