@@ -1,20 +1,30 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-How many edits two near lines may be apart follows from the length of the shorter one
-(``edits``). Two lines within k edits of each other: cut the shorter one into k + 1
-segments, and at least one segment stands unchanged in the other line, near its own
-place. Every different line posts its segments under (length, segment number, content)
-and probes with its substrings that can match a segment of a line of its length or up
-to k shorter; the multi-match-aware ranges keep the probes few. Candidates are
-verified by Spark's levenshtein with a threshold, which works in a band around the diagonal.
+How many edits k two near lines may be apart follows from the length of the shorter one
+(``EDITS``). Lines are compared within classes of similar length, each of one k. A class cuts
+its lines into k + 1 segments of one width, the first half counted from the line's start and
+the rest from its end. Of k edits, i at most lie before some untouched segment i and k - i at
+most behind it, so that segment stands in the other line moved by no more than the smaller of
+the two. A line posts its segments under (class, segment number, content) and probes with its
+substrings moved so far: 2, 5, 8 or 13 keys for one to four edits, the unmoved ones being the
+postings. A line within k of the next class's lower end takes part in both.
+
+(1) Keys are grouped with a bounded state to find those that a posting of one line shares with
+another line. (2) Lines with such keys are compared with the earliest line of each of their
+keys, which settles most members of a family in linear work. (3) Lines that this leaves are compared
+with every earlier line of their keys that a bound by parity maps of character pairs admits.
+Candidates are verified by the bit-parallel edit distance, banded: a window of 2k + 1 bits slides
+along the diagonal, one character a step.
 
 A line goes if the same line came before, or a near one came before
 (whether or not that one stays), in the order of (doc_id, text's hash, line number).
-Lines of nothing but spaces, tabs and the like stay. Lines shorter than the first length in ``edits`` are allowed no edit.
+Lines of nothing but spaces, tabs and the like stay. Lines shorter than the first length in ``EDITS`` are allowed no edit.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,40 +32,23 @@ from .common import cut, prepare
 
 #: (characters of the shorter line from which it holds, edits), by length.
 EDITS = ((8, 1), (24, 2), (200, 3), (400, 4))
-#: Filters that go before shuffles of text have so many buckets at most.
-BUCKET_BITS = 20
-
+#: A filter that goes before a shuffle has so many bits for each key, and log2 of its bits is in this range:
+#: at most 2^20 rows of 64 bits, so it may be broadcast. Fuller ones let more rows through.
+FILTER_RATIO, FILTER_BITS = 64, (16, 26)
 
-def _segment(n: Column, i: Column, k: Column) -> tuple[Column, Column]:
-    """(start, length) of segment i of k of a line of n characters: even parts, the longer ones last."""
-    part, longer = F.floor(n / k).cast("int"), (n % k).cast("int")
-    start = part * i + F.greatest(F.lit(0), i - k + longer)
-    return start, part + F.when(i >= k - longer, 1).otherwise(0)
+Edits = tuple[tuple[int, int], ...]
 
 
-def _probes(edits: tuple[tuple[int, int], ...], index: bool) -> Column:
-    """(from, to, k, gap, i, shift): a line probes for segment i of k, moved by shift, of lines ``gap`` shorter with from to to - 1 characters."""
-    out = []
-    for (low, most), high in zip(edits, [*(x for x, _ in edits[1:]), (1 << 31) - 1], strict=True):
-        for gap in range(0 if index else most, -1, -1):
-            for i in range(most + 1):
-                for shift in [0] if index else range(max(-i, gap - (most - i)), min(i, gap + (most - i)) + 1):
-                    out.append((low, high, most + 1, gap, i, shift))
-    names = ("_t_low", "_t_high", "_t_k", "_t_gap", "_t_i", "_t_shift")
-    return F.array(*(F.struct(*(F.lit(x).alias(name) for x, name in zip(row, names, strict=True))) for row in out))
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once: what stands in a lambda is computed for each element."""
+    return F.transform(F.array(value), f)[0]
 
 
-def _posts(lines: DataFrame, edits: tuple[tuple[int, int], ...], index: bool) -> DataFrame:
-    """(key, h, same): the postings of each line, or its probes and whether they are for lines of its own length."""
-    every = lines.select("h", "line", F.char_length("line").alias("n"), F.inline(_probes(edits, index)))
-    size = F.col("n") - F.col("_t_gap")
-    start, length = _segment(size, F.col("_t_i"), F.col("_t_k"))
-    text = F.col("line").substr(start + F.col("_t_shift") + 1, length)
-    held = every.where((size >= F.col("_t_low")) & (size < F.col("_t_high")))
-    return held.select(F.xxhash64(size, F.col("_t_i"), text).alias("key"), "h", (F.col("_t_gap") == 0).alias("same"))
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
 
 
-def _allowed(n: Column, edits: tuple[tuple[int, int], ...]) -> Column:
+def _allowed(n: Column, edits: Edits) -> Column:
     """The edits allowed for a shorter line of n characters."""
     out = F.lit(0)
     for low, most in edits:
@@ -63,6 +56,123 @@ def _allowed(n: Column, edits: tuple[tuple[int, int], ...]) -> Column:
     return out
 
 
+def _class(n: Column, edits: Edits) -> Column:
+    """The least length of the class of lines of n characters: n by its three leading bits, and not under the last step of ``edits``."""
+    step = F.greatest(F.length(F.bin(n)) - 3, F.lit(0)).cast("int")
+    low = F.call_function("shiftleft", F.call_function("shiftright", n, step), step)
+    for at, _ in edits:
+        low = F.when((n >= at) & (low < at), at).otherwise(low)
+    return low
+
+
+def _posts(lines: DataFrame, edits: Edits) -> DataFrame:
+    """(key, h, id, own, i) of each line, its postings (own) and its probes, and the line and its class."""
+    most = max(k for _, k in edits)
+    n = F.col("n")
+    # A partner may be up to k shorter, in the class below.
+    classes = F.array_distinct(F.array(*[F.when(F.lit(j) <= _allowed(n - j, edits), _class(n - j, edits)) for j in range(most + 1)]))
+    each = lines.select("h", "id", "line", F.char_length("line").cast("long").alias("n")).select("h", "id", "line", "n", F.explode(classes).alias("low"))
+    held = each.where((F.col("low") >= edits[0][0])).withColumn("k", _allowed(F.col("low"), edits))
+    moves = None
+    for k in sorted({k for _, k in edits}):
+        rows = [(i, d) for i in range(k + 1) for d in range(-min(i, k - i), min(i, k - i) + 1)]
+        own = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("d")) for i, d in rows])
+        moves = F.when(F.col("k") == k, own) if moves is None else moves.when(F.col("k") == k, own)
+    every = held.select("h", "id", "line", "n", "low", "k", F.inline(moves))
+    placed = every.withColumn("start", _start(F.col("i")) + F.col("d")).where((F.col("start") >= 0) & (F.col("start") + _width() <= n))
+    return placed.select(_key(F.col("i"), F.col("start")).alias("key"), "h", "id", (F.col("d") == 0).alias("own"), "i", "line", "n", "low", "k")
+
+
+def _width() -> Column:
+    return F.floor(F.col("low") / (F.col("k") + 1)).cast("long")
+
+
+def _start(i: Column) -> Column:
+    """Where segment i begins: the first half counts from the line's start, the rest from its end."""
+    return F.when(2 * i <= F.col("k"), i * _width()).otherwise(F.col("n") - (F.col("k") + 1 - i) * _width())
+
+
+def _key(i: Column, at: Column) -> Column:
+    return F.xxhash64(F.col("low"), i, F.col("line").substr((at + 1).cast("int"), _width().cast("int")))
+
+
+def _filter(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """Bits of hashed keys, 64 a row, and log2 of their number."""
+    n = keys.count()
+    bits = min(max((n * FILTER_RATIO).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    at = F.col(key).bitwiseAND(F.lit((1 << bits) - 1))
+    word = F.call_function("shiftright", at, F.lit(6))
+    return cut(keys.groupBy(word.alias("_t_word")).agg(F.bit_or(_bit(at.bitwiseAND(F.lit(63)))).alias("_t_bits"))), bits
+
+
+def _only(df: DataFrame, column: str, held: tuple[DataFrame, int], how: str = "left_semi") -> DataFrame:
+    """Rows whose hashed ``column`` passes the filter, without a shuffle. It lets some others through."""
+    words, bits = held
+    at = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    hit = F.call_function("shiftright", F.col("_t_bits"), at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return df.join(F.broadcast(words), (F.call_function("shiftright", at, F.lit(6)) == F.col("_t_word")) & hit, how)
+
+
+def _parity(line: Column) -> Column:
+    """For 128 buckets of pairs of neighbouring characters whether the line has an odd number of them."""
+    pairs = _with(F.split(line, ""), lambda chars: F.transform(chars, lambda c, i: F.xxhash64(c, F.get(chars, i + 1)).bitwiseAND(F.lit(127)).cast("int")))
+    none = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+
+    def turn(held: Column, x: Column) -> Column:
+        flipped = _bit(x.bitwiseAND(F.lit(63)))
+        first = x < 64
+        return F.struct(F.when(first, held["a"].bitwiseXOR(flipped)).otherwise(held["a"]).alias("a"), F.when(first, held["b"]).otherwise(held["b"].bitwiseXOR(flipped)).alias("b"))
+
+    return F.aggregate(pairs, none, turn)
+
+
+def _may(a: str, b: str, edits: Edits) -> Column:
+    """Whether two lines can be near: an edit turns the parity of four pairs at most, and lengths differ by one at most."""
+    k = _allowed(F.least(f"{a}_n", f"{b}_n"), edits)
+    turned = sum((F.bit_count(F.col(f"{a}_p.{x}").bitwiseXOR(F.col(f"{b}_p.{x}"))) for x in "ab"), F.lit(0))
+    return (F.abs(F.col(f"{a}_n") - F.col(f"{b}_n")) <= k) & (turned <= 4 * k)
+
+
+def distance(s: Column, t: Column, most: int) -> Column:
+    """Edit distance of two texts of ``most`` characters or more, exact up to ``most`` and more than that otherwise.
+
+    Bit b of a word is the cell b - most under the diagonal. With each character of t the window moves down
+    and right by one: ``vp`` and ``vn`` mark where the cell is one more or one less than the one above it.
+    The distance is followed along the window's lowest cell and, from the end of s on, along the last row.
+    """
+    width = 2 * most + 1
+    mask = F.lit((1 << width) - 1).cast("long")
+    no = lambda x: F.bitwise_not(x).bitwiseAND(mask)
+    long_ = lambda v: F.lit(v).cast("long")
+    begin = F.struct(long_(((1 << (most + 1)) - 1) << most).alias("vp"), long_(0).alias("vn"), long_(most).alias("d"), F.lit(0).alias("j"))
+
+    def step(held: Column, c: Column, chars: Column, size: Column) -> Column:
+        vp, vn, j = held["vp"], held["vn"], held["j"] + 1
+        same = None
+        for b in range(width):
+            one = F.when(F.get(chars, j - most + b - 1) == c, long_(1 << b)).otherwise(long_(0))
+            same = one if same is None else same.bitwiseOR(one)
+        return _with(same, lambda x: after(held, x, vp, vn, j, size))
+
+    def after(held: Column, same: Column, vp: Column, vn: Column, j: Column, size: Column) -> Column:
+        d0 = ((same.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(same).bitwiseOR(vn).bitwiseAND(mask)
+        return _with(d0, lambda x: moved(held, x, vp, vn, j, size))
+
+    def moved(held: Column, d0: Column, vp: Column, vn: Column, j: Column, size: Column) -> Column:
+        hp, hn = vn.bitwiseOR(no(d0.bitwiseOR(vp))), d0.bitwiseAND(vp)
+        down = F.shiftright(d0, 1)
+        row = size - j + most  # the last row's bit
+        at = lambda x: F.call_function("shiftright", x, row).bitwiseAND(long_(1))
+        d = held["d"] + F.when(row >= width - 1, 1 - F.shiftright(d0, width - 1)).when(row < 0, long_(0)).otherwise(at(hp) - at(hn))
+        return F.struct(hn.bitwiseOR(no(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), d.alias("d"), j.alias("j"))
+
+    def walk(given: Column) -> Column:
+        return F.aggregate(F.split(t, ""), begin, lambda held, c: step(held, c, given["chars"], given["size"]), lambda x: x["d"])
+
+    given = F.struct(F.split(s, "").alias("chars"), F.char_length(s).alias("size"))
+    return F.when(F.abs(F.char_length(t) - F.char_length(s)) > most, most + 1).otherwise(_with(given, walk))
+
+
 def _lines(df: DataFrame) -> DataFrame:
     return df.select("_t_key", "_t_id", F.posexplode(F.split("_t_text", "\n", -1)).alias("pos", "line")).select(
         "_t_key", "_t_id", "pos", "line",
@@ -77,77 +187,101 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.withColumns({"_t_id": F.col(id_col).cast("long"), "_t_text": text, "_t_key": F.xxhash64(F.col(id_col), text)})
 
 
-def _buckets(keys: DataFrame, key: str) -> DataFrame:
-    """The buckets that hashed keys fall in: at most 2^BUCKET_BITS rows, so it may be broadcast."""
-    return cut(keys.select(F.col(key).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).alias("_t_bucket")).distinct())
-
-
-def _only(df: DataFrame, column: str, keys: DataFrame, key: str, how: str = "left_semi", buckets: DataFrame | None = None) -> DataFrame:
-    """Rows whose hashed ``column`` shares a bucket with the keys, without a shuffle. It lets some others through."""
-    held = _buckets(keys, key) if buckets is None else buckets
-    return df.join(F.broadcast(held), F.col(column).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)) == F.col("_t_bucket"), how)
-
-
-def _repeated(lines: DataFrame, edits: tuple[tuple[int, int], ...]) -> DataFrame:
+def _later(pairs: DataFrame, texts: DataFrame, edits: Edits) -> DataFrame:
+    """(h, g) of the later line of each pair (ah, bh) of near lines."""
+    most = max(k for _, k in edits)
+    side = lambda x: texts.select(*[F.col(c).alias(f"{x}{c}") for c in ("h", "g")], *[F.col(c).alias(f"{x}_{c}") for c in ("n", "first", "line")])
+    both = pairs.join(side("a"), "ah").join(side("b"), "bh")
+    near = both.where(distance(F.col("a_line"), F.col("b_line"), most) <= _allowed(F.least("a_n", "b_n"), edits))
+    a_later = F.col("a_first") > F.col("b_first")
+    return near.select(F.when(a_later, F.col("ah")).otherwise(F.col("bh")).alias("h"), F.when(a_later, F.col("ag")).otherwise(F.col("bg")).alias("g")).distinct()
+
+
+def _near(black: DataFrame, groups: DataFrame, edits: Edits) -> DataFrame:
+    """(h, g) of lines that a near line came before."""
+    long_ = black.where(F.char_length("line") >= edits[0][0]).select("h", F.col("_t_id").alias("id"), "line", "g")
+    posts = _posts(long_, edits)
+    live = cut(posts.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("own")).where("lo < hi and own").select("key"))
+    segments = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: _key(i, _start(i))).alias("segments")
+    some = _only(posts, "key", _filter(live, "key")).select("key", "h", "id", "own", "i", segments).groupBy("key", "h").agg(F.min("id").alias("id"), F.max("own").alias("own"), F.first("i").alias("i"), F.first("segments").alias("segments"))
+    met = cut(some.join(live, "key", "left_semi"))
+    # The text of the lines that may be near another one, once each.
+    held = _only(long_, "h", _filter(met.select("h").distinct(), "h")).groupBy("h", "g").agg(F.first("line").alias("line"))
+    texts = cut(held.join(groups.select("h", "g", "first"), ["h", "g"]).select("h", "g", "first", "line", F.char_length("line").cast("long").alias("n"), _parity(F.col("line")).alias("p")))
+    known = met.join(texts.select("h", "n", "p"), "h")
+
+    # Every line against the earliest posting line of its keys, and posting lines against the earliest line.
+    earliest = F.struct("id", "h")
+    heads = met.groupBy("key").agg(F.min(F.when(F.col("own"), earliest))["h"].alias("x"), F.min(earliest)["h"].alias("y"))
+    asked = known.join(heads, "key").select("h", "n", "p", F.explode(F.array_distinct(F.array("x", F.when(F.col("own"), F.col("y"))))).alias("head")).where("h != head")
+    asked = asked.select(F.least("h", "head").alias("ah"), F.greatest("h", "head").alias("bh")).distinct()
+    brief = lambda x: texts.select(F.col("h").alias(f"{x}h"), F.col("n").alias(f"{x}_n"), F.col("p").alias(f"{x}_p"))
+    first = asked.join(brief("a"), "ah").join(brief("b"), "bh").where(_may("a", "b", edits)).select("ah", "bh")
+    settled = cut(_later(first, texts, edits))
+
+    # What is not settled, against every line of its keys that came before and can be near.
+    side = lambda d, x: d.select("key", *[F.col(c).alias(f"{x}{c}") for c in ("h", "id", "own", "i", "segments")], *[F.col(c).alias(f"{x}_{c}") for c in ("n", "p")])
+    rest = known.join(settled.select("h"), "h", "left_anti")
+    before = (F.col("bid") <= F.col("aid")) | F.col("bid").isNull()
+    # Two lines with equal segments in place meet at the first of them only.
+    equal = F.array_position(F.zip_with("asegments", "bsegments", lambda x, y: x == y), True)
+    once = (equal == 0) | ((equal == F.col("ai") + 1) & F.col("aown") & F.col("bown"))
+    pairs = side(rest, "a").join(side(known, "b"), "key").where((F.col("ah") != F.col("bh")) & (F.col("aown") | F.col("bown")) & before & _may("a", "b", edits) & once)
+    more = _later(pairs.select(F.least("ah", "bh").alias("ah"), F.greatest("ah", "bh").alias("bh")).distinct(), texts, edits)
+    return settled.union(more).distinct()
+
+
+def _repeated(lines: DataFrame, edits: Edits) -> DataFrame:
     """(h, g, first, near) of lines that have copies or a near line before them."""
     black = lines.where("not blank")
     groups = cut(black.groupBy("h", "g").agg(F.min(F.struct("_t_id", "_t_key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")))
-    long_ = black.where(F.char_length("line") >= edits[0][0])
-    # Only one of a line's copies posts.
-    different = long_.select("h", "line").distinct()
-    left = _posts(different, edits, True).select("key", F.col("h").alias("ah"))
-    right = _posts(different, edits, False).select("key", F.col("h").alias("bh"), "same")
-    # Lines of one length would find each other both ways; one way is enough.
-    once = F.when(F.col("same"), F.col("ah") < F.col("bh")).otherwise(F.col("ah") != F.col("bh"))
-    pairs = cut(left.join(right, "key").where(once).select("ah", "bh").distinct())
-    ends = pairs.select(F.col("ah").alias("h")).union(pairs.select("bh")).distinct()
-    texts = _only(long_, "h", ends, "h").select("h", "g", "line").groupBy("h", "g").agg(F.first("line").alias("line")).join(groups.drop("n"), ["h", "g"])
-    a = texts.select(F.col("h").alias("ah"), F.col("g").alias("ag"), F.col("first").alias("a_first"), F.col("line").alias("a_line"))
-    b = texts.select(F.col("h").alias("bh"), F.col("g").alias("bg"), F.col("first").alias("b_first"), F.col("line").alias("b_line"))
-    apart = F.levenshtein("a_line", "b_line", max(most for _, most in edits))
-    close = pairs.join(a, "ah").join(b, "bh").where(apart.between(0, _allowed(F.least(F.char_length("a_line"), F.char_length("b_line")), edits)))
-    a_later = F.col("a_first") > F.col("b_first")
-    later = close.select(F.when(a_later, F.col("ah")).otherwise(F.col("bh")).alias("h"), F.when(a_later, F.col("ag")).otherwise(F.col("bg")).alias("g"))
-    near = later.distinct().withColumn("near", F.lit(True))
+    near = _near(black, groups, edits).withColumn("near", F.lit(True))
     marked = groups.join(near, ["h", "g"], "left").where("n > 1 or near")
     return marked.select("h", "g", F.struct(F.col("first._t_key").alias("key"), F.col("first.pos").alias("pos")).alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
 
 
-def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: tuple[tuple[int, int], ...] = EDITS) -> DataFrame:
-    """Adds _t_flags: for each line of the row's text whether it goes; null where none goes."""
+def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: Edits = EDITS) -> DataFrame:
+    """Adds _t_gone: the numbers of the lines of the row's text that go, from 0; null where none goes.
+
+    ``edits`` must not allow more edits than its first length has characters.
+    """
+    if edits[0][0] < max(k for _, k in edits):
+        raise ValueError("lines must be longer than the edits they are allowed")
     prepare(df.sparkSession)
     keyed = _keyed(df, id_col, text_col)
     repeated = cut(_repeated(_lines(keyed), edits))
-    lines = _lines(keyed).select(F.col("_t_key"), "pos", "h", "g", "blank")
+    lines = _lines(keyed).where("not blank").select("_t_key", "pos", "h", "g")
     gone = F.col("near") | (F.col("first.key") != F.col("_t_key")) | (F.col("first.pos") != F.col("pos"))
-    flagged = lines.join(repeated, ["h", "g"], "left").select("_t_key", "pos", F.coalesce(~F.col("blank") & gone, F.lit(False)).alias("gone"))
-    flags = flagged.groupBy("_t_key").agg(F.sort_array(F.collect_set(F.struct("pos", "gone"))).alias("_t_flags"), F.max("gone").alias("_t_any")).where("_t_any").drop("_t_any")
-    flags = cut(flags)
-    held = _buckets(flags, "_t_key")
+    flagged = _only(lines, "h", _filter(repeated, "h")).join(repeated, ["h", "g"]).where(gone)
+    flags = cut(flagged.groupBy("_t_key").agg(F.collect_set("pos").alias("_t_gone")))
+    held = _filter(flags, "_t_key")
     # Only texts that may lose lines are shuffled.
-    hit = _only(keyed, "_t_key", flags, "_t_key", buckets=held).join(flags, "_t_key", "left")
-    rest = _only(keyed, "_t_key", flags, "_t_key", "left_anti", held)
+    hit = _only(keyed, "_t_key", held).join(flags, "_t_key", "left")
+    rest = _only(keyed, "_t_key", held, "left_anti")
     return hit.unionByName(rest, allowMissingColumns=True)
 
 
 def _kept(text: Column) -> Column:
-    lines = F.split(text, "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.get(F.col("_t_flags"), i)["gone"])
-    return F.when(F.col("_t_flags").isNull(), text).otherwise(F.array_join(kept, "\n"))
+
+    def left(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_t_gone"))
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    return F.when(F.col("_t_gone").isNull(), text).otherwise(_with(F.split(text, "\n", -1), left))
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: tuple[tuple[int, int], ...] = EDITS) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: Edits = EDITS) -> DataFrame:
     """Every row with repeated lines taken out of its text; other columns stay.
 
     Lines end with a line feed. A null text stays null, an empty one empty. Rows alike in id and text
-    count as one and keep the same lines. An empty table gives an empty result.
+    count as one and keep the same lines. Columns of the table must not begin with _t_. An empty table gives an empty result.
     """
     marked = mark(df, id_col, text_col, edits)
     return marked.withColumn(text_col, _kept(F.col(text_col))).select(*df.columns)
 
 
-def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: tuple[tuple[int, int], ...] = EDITS) -> DataFrame:
+def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: Edits = EDITS) -> DataFrame:
     """(doc_id, n_lines, n_removed, text) of every row; a null or empty text is one empty line."""
     marked = mark(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", edits)
-    removed = F.coalesce(F.size(F.filter("_t_flags", lambda x: x["gone"])), F.lit(0))
-    return marked.select("doc_id", F.size(F.split("_t_text", "\n", -1)).cast("long").alias("n_lines"), F.when(F.col("_t_flags").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"), _kept(F.col("text")).alias("text"))
+    removed = F.when(F.col("_t_gone").isNull(), 0).otherwise(F.size("_t_gone"))
+    return marked.select("doc_id", F.size(F.split("_t_text", "\n", -1)).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), _kept(F.col("text")).alias("text"))

@@ -4,6 +4,8 @@ import hashlib
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from tessera.llm import html_text, jaccard, line_dedup, packing, quality, shard, suffix_dedup
 from tessera.llm.bpe import ByteBPE
 from tessera.llm.queries import BYTE_VOCABULARY, WORD_VOCABULARY, vocabulary
@@ -109,6 +111,16 @@ def test_line_dedup_by_length(spark):
     assert sum(gone.values()) > 25
 
 
+def test_line_distance(spark):
+    r, rows = random.Random(8), []
+    for _ in range(400):
+        s = "".join(r.choice("abcé") for _ in range(r.randrange(8, 60)))
+        rows.append((s, changed(s, r, r.randrange(7)) or s))
+    rows = [(s, t) for s, t in rows if len(t) >= 4]
+    got = spark.createDataFrame(rows, "s string, t string").select("s", "t", line_dedup.distance(F.col("s"), F.col("t"), 4).alias("d")).collect()
+    assert all(min(x.d, 5) == min(distance(x.s, x.t), 5) for x in got) and len(got) > 300
+
+
 def test_line_dedup_of_short_lines(spark):
     texts = ["All rights reserved", "All right reserved", "ab", "ac", "All  right reserved"]
     assert [r.n_removed for r in line_dedup.report(table(spark, texts)).sort("doc_id").collect()] == [0, 1, 0, 0, 1]
