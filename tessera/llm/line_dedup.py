@@ -57,12 +57,16 @@ def _allowed(n: Column, edits: Edits) -> Column:
 
 
 def _class(n: Column, edits: Edits) -> Column:
-    """The least length of the class of lines of n characters: n by its three leading bits, and not under the last step of ``edits``."""
-    step = F.greatest(F.length(F.bin(n)) - 3, F.lit(0)).cast("int")
-    low = F.call_function("shiftleft", F.call_function("shiftright", n, step), step)
-    for at, _ in edits:
-        low = F.when((n >= at) & (low < at), at).otherwise(low)
-    return low
+    """The least length of the class of lines of n characters: n by its three leading bits, and not under the last step of ``edits``.
+
+    Classes are as wide as the most edits, but for those that a step cuts.
+    """
+    least = (max(k for _, k in edits) - 1).bit_length()
+    step = F.greatest(F.floor(F.log2(n)).cast("int") - 2, F.lit(least))
+    at = F.lit(edits[0][0])
+    for low, _ in edits[1:]:
+        at = F.when(n >= low, low).otherwise(at)
+    return F.greatest(F.call_function("shiftleft", F.call_function("shiftright", n, step), step), at.cast("long"))
 
 
 def _posts(lines: DataFrame, edits: Edits) -> DataFrame:
@@ -70,7 +74,13 @@ def _posts(lines: DataFrame, edits: Edits) -> DataFrame:
     most = max(k for _, k in edits)
     n = F.col("n")
     # A partner may be up to k shorter, in the class below.
-    classes = F.array_distinct(F.array(*[F.when(F.lit(j) <= _allowed(n - j, edits), _class(n - j, edits)) for j in range(most + 1)]))
+    furthest = F.lit(0)
+    for j in range(1, most + 1):
+        furthest = F.when(F.lit(j) <= _allowed(n - j, edits), j).otherwise(furthest)
+    steps = [n, n - furthest]
+    if any(low - before < 2 * most for (before, _), (low, _) in zip(edits, edits[1:], strict=False)) or any(low % (1 << (most - 1).bit_length()) for low, _ in edits):
+        steps = [n, *(F.when(F.lit(j) <= _allowed(n - j, edits), n - j) for j in range(1, most + 1))]  # narrow classes: there may be more than two
+    classes = F.array_distinct(F.array(*[_class(x, edits) for x in steps]))
     each = lines.select("h", "id", "line", F.char_length("line").cast("long").alias("n")).select("h", "id", "line", "n", F.explode(classes).alias("low"))
     held = each.where((F.col("low") >= edits[0][0])).withColumn("k", _allowed(F.col("low"), edits))
     moves = None
@@ -84,7 +94,7 @@ def _posts(lines: DataFrame, edits: Edits) -> DataFrame:
 
 
 def _width() -> Column:
-    return F.floor(F.col("low") / (F.col("k") + 1)).cast("long")
+    return F.call_function("div", F.col("low"), F.col("k") + 1)
 
 
 def _start(i: Column) -> Column:
@@ -133,6 +143,29 @@ def _may(a: str, b: str, edits: Edits) -> Column:
     return (F.abs(F.col(f"{a}_n") - F.col(f"{b}_n")) <= k) & (turned <= 4 * k)
 
 
+def _core(s: Column, t: Column, most: int) -> Column:
+    """Both texts (a, b) without what they begin and end with alike, but for ``most`` characters of it: their distance is the same."""
+
+    def alike(least: Column, at: Callable[[Column, Column], Column], other: Callable[[Column, Column], Column]) -> Column:
+        steps = F.array(*[F.lit(1 << e) for e in range(12, -1, -1)])
+        return F.aggregate(steps, F.lit(0), lambda have, z: have + F.when((have + z <= least) & (at(have, z) == other(have, z)), z).otherwise(0))
+
+    def cores(x: Column) -> Column:
+        a, b, m = x["a"], x["b"], F.least(x["m"], x["n"])
+        front = alike(m, lambda have, z: a.substr(have + 1, z), lambda have, z: b.substr(have + 1, z))
+
+        def inner(p: Column) -> Column:
+            back = alike(m - p, lambda have, z: a.substr(x["m"] - have - z + 1, z), lambda have, z: b.substr(x["n"] - have - z + 1, z))
+            return _with(back, lambda q: outer(F.greatest(p - most, F.lit(0)), F.greatest(q - most, F.lit(0))))
+
+        def outer(p: Column, q: Column) -> Column:
+            return F.struct(a.substr(p + 1, x["m"] - p - q).alias("a"), b.substr(p + 1, x["n"] - p - q).alias("b"))
+
+        return _with(front, inner)
+
+    return _with(F.struct(s.alias("a"), t.alias("b"), F.char_length(s).alias("m"), F.char_length(t).alias("n")), cores)
+
+
 def distance(s: Column, t: Column, most: int) -> Column:
     """Edit distance of two texts of ``most`` characters or more, exact up to ``most`` and more than that otherwise.
 
@@ -167,10 +200,12 @@ def distance(s: Column, t: Column, most: int) -> Column:
         return F.struct(hn.bitwiseOR(no(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), d.alias("d"), j.alias("j"))
 
     def walk(given: Column) -> Column:
-        return F.aggregate(F.split(t, ""), begin, lambda held, c: step(held, c, given["chars"], given["size"]), lambda x: x["d"])
+        return F.aggregate(F.split(given["b"], ""), begin, lambda held, c: step(held, c, given["chars"], given["size"]), lambda x: x["d"])
+
+    def run(core: Column) -> Column:
+        return _with(F.struct(F.split(core["a"], "").alias("chars"), F.char_length(core["a"]).alias("size"), core["b"].alias("b")), walk)
 
-    given = F.struct(F.split(s, "").alias("chars"), F.char_length(s).alias("size"))
-    return F.when(F.abs(F.char_length(t) - F.char_length(s)) > most, most + 1).otherwise(_with(given, walk))
+    return F.when(F.abs(F.char_length(t) - F.char_length(s)) > most, most + 1).otherwise(_with(_core(s, t, most), run))
 
 
 def _lines(df: DataFrame) -> DataFrame:
