@@ -270,7 +270,10 @@ def _without(raw: bytes, cuts: list[dict] | None) -> bytes:
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row; an empty table gives an empty result."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) of every row; an empty table gives an empty result.
+
+    ``text`` is what is kept, without bytes of characters that a cut has split; a null text stays null.
+    """
     marked = with_spans(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,12 +282,13 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             for text, cuts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 kept = _without(raw, cuts)
-                rows.append((len(raw), len(raw) - len(kept), len(cuts or ()), hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                left = text if kept is raw else kept.decode("utf-8", "ignore")
+                rows.append((len(raw), len(raw) - len(kept), len(cuts or ()), hashlib.sha256(kept).hexdigest(), left))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-    return marked.select("doc_id", "text", "_t_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked.select("doc_id", "text", "_t_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
