@@ -36,6 +36,9 @@ EDITS = ((8, 1), (24, 2), (200, 3), (400, 4))
 #: at most 2^20 rows of 64 bits, so it may be broadcast. Fuller ones let more rows through.
 FILTER_RATIO, FILTER_BITS = 64, (16, 26)
 
+#: Far pairs are looked for in so many times the most edits of characters at both ends of where two lines differ.
+END = 4
+
 Edits = tuple[tuple[int, int], ...]
 
 
@@ -125,15 +128,15 @@ def _only(df: DataFrame, column: str, held: tuple[DataFrame, int], how: str = "l
 
 def _parity(line: Column) -> Column:
     """For 128 buckets of pairs of neighbouring characters whether the line has an odd number of them."""
-    pairs = _with(F.split(line, ""), lambda chars: F.transform(chars, lambda c, i: F.xxhash64(c, F.get(chars, i + 1)).bitwiseAND(F.lit(127)).cast("int")))
-    none = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-
-    def turn(held: Column, x: Column) -> Column:
-        flipped = _bit(x.bitwiseAND(F.lit(63)))
-        first = x < 64
-        return F.struct(F.when(first, held["a"].bitwiseXOR(flipped)).otherwise(held["a"]).alias("a"), F.when(first, held["b"]).otherwise(held["b"].bitwiseXOR(flipped)).alias("b"))
+    def maps(pairs: Column) -> Column:
+        # shiftleft takes the amount by its six lowest bits; the seventh says which map.
+        every = F.aggregate(pairs, none, lambda held, x: held.bitwiseXOR(F.call_function("shiftleft", one, x)))
+        upper = F.aggregate(pairs, none, lambda held, x: F.when(x.bitwiseAND(F.lit(64)) == 0, held).otherwise(held.bitwiseXOR(F.call_function("shiftleft", one, x))))
+        return _with(F.struct(every.alias("every"), upper.alias("upper")), lambda m: F.struct(m["every"].bitwiseXOR(m["upper"]).alias("a"), m["upper"].alias("b")))
 
-    return F.aggregate(pairs, none, turn)
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    pairs = _with(F.split(line, ""), lambda chars: F.zip_with(chars, F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))), lambda c, d: F.hash(c, d)))
+    return _with(pairs, maps)
 
 
 def _may(a: str, b: str, edits: Edits) -> Column:
@@ -172,6 +175,8 @@ def distance(s: Column, t: Column, most: int) -> Column:
     Bit b of a word is the cell b - most under the diagonal. With each character of t the window moves down
     and right by one: ``vp`` and ``vn`` mark where the cell is one more or one less than the one above it.
     The distance is followed along the window's lowest cell and, from the end of s on, along the last row.
+    Long texts are first met from both ends: the least distance of the ``END * most`` characters that t begins with to any
+    beginning of s, and the same for the ends, are together no more than the distance, so most far pairs end there.
     """
     width = 2 * most + 1
     mask = F.lit((1 << width) - 1).cast("long")
@@ -199,13 +204,33 @@ def distance(s: Column, t: Column, most: int) -> Column:
         d = held["d"] + F.when(row >= width - 1, 1 - F.shiftright(d0, width - 1)).when(row < 0, long_(0)).otherwise(at(hp) - at(hn))
         return F.struct(hn.bitwiseOR(no(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), d.alias("d"), j.alias("j"))
 
-    def walk(given: Column) -> Column:
-        return F.aggregate(F.split(given["b"], ""), begin, lambda held, c: step(held, c, given["chars"], given["size"]), lambda x: x["d"])
+    def walk(given: Column, finish: Callable[[Column], Column]) -> Column:
+        return F.aggregate(F.split(given["b"], ""), begin, lambda held, c: step(held, c, given["chars"], given["size"]), finish)
 
     def run(core: Column) -> Column:
-        return _with(F.struct(F.split(core["a"], "").alias("chars"), F.char_length(core["a"]).alias("size"), core["b"].alias("b")), walk)
+        return _with(F.struct(F.split(core["a"], "").alias("chars"), F.char_length(core["a"]).alias("size"), core["b"].alias("b")), lambda given: walk(given, lambda x: x["d"]))
+
+    end = END * most
+
+    def least(x: Column) -> Column:
+        over = [F.bit_count(F.shiftright(x["vp"], b + 1)) - F.bit_count(F.shiftright(x["vn"], b + 1)) for b in range(width)]
+        return x["d"].cast("int") - F.greatest(*over)
+
+    def begun(a: Column, b: Column) -> Column:
+        # The window ends within these characters of a, so its last row is never met.
+        given = F.struct(F.split(a, "").alias("chars"), F.lit(end + most).alias("size"), b.alias("b"))
+        return _with(given, lambda x: walk(x, least))
+
+    def ends(core: Column) -> Column:
+        a, b = core["a"], core["b"]
+        front = begun(a.substr(F.lit(1), F.lit(end + most)), b.substr(F.lit(1), F.lit(end)))
+        back = begun(F.reverse(F.right(a, F.lit(end + most))), F.reverse(F.right(b, F.lit(end))))
+        return F.when(F.least(F.char_length(a), F.char_length(b)) < 2 * end + most, False).otherwise(front + back > most)
+
+    def both(core: Column) -> Column:
+        return F.when(ends(core), F.lit(most + 1).cast("long")).otherwise(run(core))
 
-    return F.when(F.abs(F.char_length(t) - F.char_length(s)) > most, most + 1).otherwise(_with(_core(s, t, most), run))
+    return F.when(F.abs(F.char_length(t) - F.char_length(s)) > most, most + 1).otherwise(_with(_core(s, t, most), both))
 
 
 def _lines(df: DataFrame) -> DataFrame:
@@ -248,20 +273,23 @@ def _near(black: DataFrame, groups: DataFrame, edits: Edits) -> DataFrame:
     # Every line against the earliest posting line of its keys, and posting lines against the earliest line.
     earliest = F.struct("id", "h")
     heads = met.groupBy("key").agg(F.min(F.when(F.col("own"), earliest))["h"].alias("x"), F.min(earliest)["h"].alias("y"))
-    asked = known.join(heads, "key").select("h", "n", "p", F.explode(F.array_distinct(F.array("x", F.when(F.col("own"), F.col("y"))))).alias("head")).where("h != head")
+    headed = known.join(heads, "key")
+    asked = headed.select("h", "n", "p", F.explode(F.array_distinct(F.array("x", F.when(F.col("own"), F.col("y"))))).alias("head")).where("h != head")
     asked = asked.select(F.least("h", "head").alias("ah"), F.greatest("h", "head").alias("bh")).distinct()
     brief = lambda x: texts.select(F.col("h").alias(f"{x}h"), F.col("n").alias(f"{x}_n"), F.col("p").alias(f"{x}_p"))
     first = asked.join(brief("a"), "ah").join(brief("b"), "bh").where(_may("a", "b", edits)).select("ah", "bh")
     settled = cut(_later(first, texts, edits))
 
     # What is not settled, against every line of its keys that came before and can be near.
+    # Heads have been compared with every line that they can be near at their keys.
+    others = headed.where(~F.col("h").eqNullSafe(F.col("x")) & (F.col("h") != F.col("y")))
     side = lambda d, x: d.select("key", *[F.col(c).alias(f"{x}{c}") for c in ("h", "id", "own", "i", "segments")], *[F.col(c).alias(f"{x}_{c}") for c in ("n", "p")])
-    rest = known.join(settled.select("h"), "h", "left_anti")
+    rest = others.join(settled.select("h"), "h", "left_anti")
     before = (F.col("bid") <= F.col("aid")) | F.col("bid").isNull()
     # Two lines with equal segments in place meet at the first of them only.
     equal = F.array_position(F.zip_with("asegments", "bsegments", lambda x, y: x == y), True)
     once = (equal == 0) | ((equal == F.col("ai") + 1) & F.col("aown") & F.col("bown"))
-    pairs = side(rest, "a").join(side(known, "b"), "key").where((F.col("ah") != F.col("bh")) & (F.col("aown") | F.col("bown")) & before & _may("a", "b", edits) & once)
+    pairs = side(rest, "a").join(side(others, "b"), "key").where((F.col("ah") != F.col("bh")) & (F.col("aown") | F.col("bown")) & before & _may("a", "b", edits) & once)
     more = _later(pairs.select(F.least("ah", "bh").alias("ah"), F.greatest("ah", "bh").alias("bh")).distinct(), texts, edits)
     return settled.union(more).distinct()
 

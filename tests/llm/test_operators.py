@@ -116,6 +116,10 @@ def test_line_distance(spark):
     for _ in range(400):
         s = "".join(r.choice("abcé") for _ in range(r.randrange(8, 60)))
         rows.append((s, changed(s, r, r.randrange(7)) or s))
+    for i in range(300):  # differences far apart, some of them in clusters, meet the test from both ends
+        s = "".join(r.choice("abcé") for _ in range(r.randrange(60, 160)))
+        n, inner = i % 5, r.randrange(8, len(s) - 8)
+        rows.append((s, s[:4] + "x" * n + s[4:-3] + "yz"[: i % 3] + s[-3:] if i % 2 else changed(s[:inner], r, r.randrange(5)) + changed(s[inner:], r, r.randrange(5))))
     rows = [(s, t) for s, t in rows if len(t) >= 4]
     got = spark.createDataFrame(rows, "s string, t string").select("s", "t", line_dedup.distance(F.col("s"), F.col("t"), 4).alias("d")).collect()
     assert all(min(x.d, 5) == min(distance(x.s, x.t), 5) for x in got) and len(got) > 300
