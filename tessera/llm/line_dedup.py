@@ -85,15 +85,21 @@ def _posts(lines: DataFrame, edits: Edits) -> DataFrame:
         steps = [n, *(F.when(F.lit(j) <= _allowed(n - j, edits), n - j) for j in range(1, most + 1))]  # narrow classes: there may be more than two
     classes = F.array_distinct(F.array(*[_class(x, edits) for x in steps]))
     each = lines.select("h", "id", "line", F.char_length("line").cast("long").alias("n")).select("h", "id", "line", "n", F.explode(classes).alias("low"))
-    held = each.where((F.col("low") >= edits[0][0])).withColumn("k", _allowed(F.col("low"), edits))
+    held = each.where((F.col("low") >= edits[0][0])).withColumn("k", _allowed(F.col("low"), edits)).withColumn("width", _width())
+    # Where every character is one byte, substrings of the bytes are found without counting characters; their hashes are the same.
+    held = held.withColumn("bytes", F.when(F.octet_length("line") == n, F.col("line").cast("binary")))
     moves = None
     for k in sorted({k for _, k in edits}):
-        rows = [(i, d) for i in range(k + 1) for d in range(-min(i, k - i), min(i, k - i) + 1)]
-        own = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("d")) for i, d in rows])
+        rows = [(i, d, *((False, i) if 2 * i <= k else (True, i - k - 1))) for i in range(k + 1) for d in range(-min(i, k - i), min(i, k - i) + 1)]
+        own = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("d"), F.lit(back).alias("back"), F.lit(times).alias("times")) for i, d, back, times in rows])
         moves = F.when(F.col("k") == k, own) if moves is None else moves.when(F.col("k") == k, own)
-    every = held.select("h", "id", "line", "n", "low", "k", F.inline(moves))
-    placed = every.withColumn("start", _start(F.col("i")) + F.col("d")).where((F.col("start") >= 0) & (F.col("start") + _width() <= n))
-    return placed.select(_key(F.col("i"), F.col("start")).alias("key"), "h", "id", (F.col("d") == 0).alias("own"), "i", "line", "n", "low", "k")
+    every = held.select("h", "id", "line", "n", "low", "k", "width", "bytes", F.inline(moves))
+    # As _start has it: segments of the first half count from the line's start, the others from its end.
+    start = F.when(F.col("back"), n).otherwise(0) + F.col("times") * F.col("width") + F.col("d")
+    placed = every.where((start >= 0) & (start + F.col("width") <= n))
+    first, size = (start + 1).cast("int"), F.col("width").cast("int")
+    key = F.when(F.col("bytes").isNull(), F.xxhash64("low", "i", F.col("line").substr(first, size))).otherwise(F.xxhash64("low", "i", F.substring("bytes", first, size)))
+    return placed.select(key.alias("key"), "h", "id", (F.col("d") == 0).alias("own"), "i", "line", "n", "low", "k")
 
 
 def _width() -> Column:
@@ -238,7 +244,7 @@ def _lines(df: DataFrame) -> DataFrame:
         "_t_key", "_t_id", "pos", "line",
         F.xxhash64("line").alias("h"),
         (F.shiftleft(F.crc32(F.col("line").cast("binary")), 31).bitwiseXOR(F.char_length("line").cast("long"))).alias("g"),
-        (F.btrim("line", F.lit(" \t\r\x0b\x0c")) == "").alias("blank"),
+        (F.ltrim("line", F.lit(" \t\r\x0b\x0c")) == "").alias("blank"),
     )
 
 
