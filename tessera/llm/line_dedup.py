@@ -83,8 +83,11 @@ def _posts(lines: DataFrame, edits: Edits) -> DataFrame:
     steps = [n, n - furthest]
     if any(low - before < 2 * most for (before, _), (low, _) in zip(edits, edits[1:], strict=False)) or any(low % (1 << (most - 1).bit_length()) for low, _ in edits):
         steps = [n, *(F.when(F.lit(j) <= _allowed(n - j, edits), n - j) for j in range(1, most + 1))]  # narrow classes: there may be more than two
-    classes = F.array_distinct(F.array(*[_class(x, edits) for x in steps]))
-    each = lines.select("h", "id", "line", F.char_length("line").cast("long").alias("n")).select("h", "id", "line", "n", F.explode(classes).alias("low"))
+    named = [f"_t_class{j}" for j in range(len(steps))]
+    classes = F.array_distinct(F.array(*named)) if len(named) > 2 else F.when(F.col(named[0]) == F.col(named[-1]), F.array(named[0])).otherwise(F.array(*named))
+    sized = lines.select("h", "id", "line", F.char_length("line").cast("long").alias("n"))
+    classed = sized.select("h", "id", "line", "n", *[_class(x, edits).alias(c) for x, c in zip(steps, named, strict=True)])
+    each = classed.select("h", "id", "line", "n", F.explode(classes).alias("low"))
     held = each.where((F.col("low") >= edits[0][0])).withColumn("k", _allowed(F.col("low"), edits)).withColumn("width", _width())
     # Where every character is one byte, substrings of the bytes are found without counting characters; their hashes are the same.
     held = held.withColumn("bytes", F.when(F.octet_length("line") == n, F.col("line").cast("binary")))
@@ -268,13 +271,14 @@ def _near(black: DataFrame, groups: DataFrame, edits: Edits) -> DataFrame:
     long_ = black.where(F.char_length("line") >= edits[0][0]).select("h", F.col("_t_id").alias("id"), "line", "g")
     posts = _posts(long_, edits)
     live = cut(posts.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("own")).where("lo < hi and own").select("key"))
-    segments = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: _key(i, _start(i))).alias("segments")
-    some = _only(posts, "key", _filter(live, "key")).select("key", "h", "id", "own", "i", segments).groupBy("key", "h").agg(F.min("id").alias("id"), F.max("own").alias("own"), F.first("i").alias("i"), F.first("segments").alias("segments"))
+    # A key tells its segment number and class.
+    some = _only(posts, "key", _filter(live, "key")).groupBy("key", "h").agg(F.min("id").alias("id"), F.max("own").alias("own"), F.min("i").alias("i"), F.min("low").alias("low"))
     met = cut(some.join(live, "key", "left_semi"))
     # The text of the lines that may be near another one, once each.
     held = _only(long_, "h", _filter(met.select("h").distinct(), "h")).groupBy("h", "g").agg(F.first("line").alias("line"))
     texts = cut(held.join(groups.select("h", "g", "first"), ["h", "g"]).select("h", "g", "first", "line", F.char_length("line").cast("long").alias("n"), _parity(F.col("line")).alias("p")))
-    known = met.join(texts.select("h", "n", "p"), "h")
+    segments = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: _key(i, _start(i)))
+    known = met.join(texts.select("h", "n", "p", "line"), "h").withColumn("k", _allowed(F.col("low"), edits)).withColumn("segments", segments).drop("line")
 
     # Every line against the earliest posting line of its keys, and posting lines against the earliest line.
     earliest = F.struct("id", "h")
