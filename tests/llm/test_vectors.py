@@ -4,6 +4,7 @@ import numpy as np
 
 from tessera.llm import ann, embed_dedup
 from tessera.llm.components import components
+from tessera.llm.vectors import sample
 
 KIND = "vec_id bigint, embedding array<float>"
 
@@ -55,3 +56,32 @@ def test_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {3: 3, 5: 3, 9: 3, 1: 1, 20: 1, 21: 1, 22: 1}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def shuffled(spark):
+    """Bytes that executors have written to shuffles so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(e.totalShuffleWrite() for e in (lambda x: [x.apply(i) for i in range(x.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+
+
+def test_embedding_near_dedup_moves_vectors_once(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "TILE_ROWS", 16)
+    monkeypatch.setattr(embed_dedup, "ROUND_BYTES", 100_000, raising=False)
+    r = np.random.default_rng(9)
+    x = r.normal(size=(1000, 64))
+    x[900:] = x[:100] + r.normal(size=(100, 64)) * 0.05
+    x = x.astype(np.float32)
+    links = np.argwhere(np.triu(cosines(x) >= 0.95, 1)).tolist()
+    names = smallest(len(x), links)
+    embed_dedup.prepare(spark)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], KIND).repartition(2).checkpoint()
+    before = shuffled(spark)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.dedup(df, threshold=0.95).collect()}
+    assert shuffled(spark) - before < 4 * x.nbytes
+    assert got == {i: (sum(i in k for k in links), names[i]) for i in range(len(x))}
+
+
+def test_sample_is_that_of_all_rows(spark):
+    df = spark.range(40_000, numPartitions=20).selectExpr("id", "array(cast(id + 1 as float), 1f) AS vec")
+    got, every = sample(df, 200, 40_000), sample(df, 200, 200)
+    assert len(got[2]) == 200 and np.array_equal(got[2], every[2])
