@@ -20,7 +20,7 @@ def usable(vec: str) -> Column:
 
 def unit_rows(vectors) -> np.ndarray:
     """Vectors of one length as rows of length 1, in double precision."""
-    x = np.array([np.asarray(v, np.float64) for v in vectors])
+    x = vectors.astype(np.float64) if isinstance(vectors, np.ndarray) and vectors.ndim == 2 else np.array([np.asarray(v, np.float64) for v in vectors])
     x /= np.abs(x).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -45,3 +45,14 @@ def sample(df: DataFrame, rows: int, total: int) -> dict[int, np.ndarray]:
     for r in first.orderBy(F.xxhash64("id"), "id").limit(rows).collect():
         got.setdefault(len(r["vec"]), []).append(r["vec"])
     return {d: unit_rows(v) for d, v in got.items()}
+
+
+def parts(df: DataFrame, raw: str, most: int) -> list[tuple[int, int]]:
+    """First and last ``uid`` of each part of a table of (uid, raw) whose ``raw`` has at most ``most`` bytes together."""
+    out: list[list[int]] = []
+    for uid, size in sorted((r["uid"], r["size"]) for r in df.select("uid", F.length(raw).alias("size")).collect()):
+        if out and out[-1][2] + size <= most:
+            out[-1] = [out[-1][0], uid, out[-1][2] + size]
+        else:
+            out.append([uid, uid, size])
+    return [(low, high) for low, high, _ in out]
