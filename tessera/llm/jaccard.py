@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, key_filter, lower_ascii, prepare, shingle_hashes
+from .common import cut, key_filter, lower_ascii, make_room, prepare, shingle_hashes
 from .components import components
 
 SHINGLE, SIMILARITY = 5, (80, 100)
@@ -90,6 +90,7 @@ def _scan(docs: DataFrame, shingle: int) -> DataFrame:
     """Rows of documents (slice is null) and rows of the sketch (doc_id, cls and n are null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         sketch, seen = np.zeros(1 << SKETCH_BITS, np.uint32), _Seen()
         fields = [("doc_id", pa.int64()), ("row", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), *((m, pa.int64()) for m in _PARITY), ("slice", pa.int32()), ("counts", pa.binary())]
         schema, any_rows = pa.schema(fields), False
@@ -105,7 +106,7 @@ def _scan(docs: DataFrame, shingle: int) -> DataFrame:
                 if len(h) and not seen(cls[-1]):
                     pending.append((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
             if pending:
-                sketch += np.bincount(np.concatenate(pending), minlength=len(sketch)).astype(np.uint32)
+                np.add.at(sketch, np.concatenate(pending), np.uint32(1))
                 pending.clear()
             n = len(cls)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cls, pa.int64()), pa.array(size, pa.int32()), *[pa.array(maps[:, i]) for i in range(PARITY_WORDS)], pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
@@ -139,6 +140,14 @@ def _levels(scan: DataFrame) -> np.ndarray:
     return out
 
 
+def _middle(level: np.ndarray, held: np.ndarray) -> float:
+    """The median of held[level], for rising ``held``, without an array of that size."""
+    width = 1 << SLICE_BITS
+    up_to = np.cumsum(sum(np.bincount(level[i : i + width], minlength=len(held)) for i in range(0, len(level), width)))
+    low, high = np.searchsorted(up_to, [(len(level) + 1) // 2, len(level) // 2 + 1])
+    return float((held[low] + held[high]) / 2)
+
+
 def choose_matches(df_counts: np.ndarray, n: int, num: int, den: int) -> int:
     """How many shared prefix shingles to ask for, by estimated cost.
 
@@ -161,7 +170,7 @@ def _postings(docs: DataFrame, levels: Broadcast, shingle: int, num: int, den: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = levels.value, _Seen()
         held = np.exp2(np.arange(256) / 4.0) - 1.0
-        floor = float(np.median(held[level]))
+        floor = _middle(level, held)
         for b in batches:
             tokens, cls, size, asked = [], [], [], []
             for text in b.column(1).to_pylist():

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, gapless_rank, prepare
+from .common import cut, gapless_rank, keep, prepare
 
 CAPACITY, END_ID = 4096, 1
 #: Words whose ids a worker keeps; the store is emptied when it is full.
@@ -241,6 +241,7 @@ def word_tokenizer(path: str) -> WordTokenizer:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _LOADED[path] = WordTokenizer(path)
+        keep(_LOADED)
     return _LOADED[path]
 
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import make_room, prepare
 
 #: The bound of the training sample: rows of each label, the first by hash of their id.
 TRAIN_ROWS = 2000
@@ -153,10 +153,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        make_room()
         weights, bias = sent.value
         scorer = Scorer(weights, bias)
         for texts in batches:
             yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
+        del scorer
+        make_room()
 
     return docs.withColumn(out, run(F.col(text_col)))
 

@@ -191,3 +191,31 @@ def test_html_article_in_a_plain_div():
     assert html_text.main_text("<div>" + "".join(f"<p>{k}</p>{x}" for k, x in enumerate(amid)) + "</div></div><p>z</p>") == "0\n1\n2\n3\n4"
     assert html_text.main_text("<div>" + f"<p>part</p>{amid[0]}" * 9 + "</div><div>another region</div>") == "\n".join(["part"] * 9)
     assert html_text.main_text(f"<div><p>long text</p>{amid[0]}<article>A</article></div>") == "A"
+
+
+def test_jaccard_tasks_hold_one_sketch():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    class Docs:
+        def mapInArrow(self, run, kind):
+            return run
+
+    texts = [" ".join(words(i, 300)) for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array(texts), pa.array(range(50), pa.int64())], ["doc_id", "text", "row"])
+    level = np.random.default_rng(4).integers(0, 60, 1 << jaccard.SKETCH_BITS).astype(np.uint8)
+
+    class Sent:
+        value = level
+
+    sketch = 4 << jaccard.SKETCH_BITS
+    for run, rows in ((jaccard._scan(Docs(), 5), batch), (jaccard._postings(Docs(), Sent, 5, 80, 100), batch)):
+        tracemalloc.start()
+        got = list(run(iter([rows])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got and peak < 1.5 * sketch
+    held = np.exp2(np.arange(256) / 4.0) - 1.0
+    assert jaccard._middle(level, held) == np.median(held[level]) and jaccard._middle(level[:1001], held) == np.median(held[level[:1001]])
