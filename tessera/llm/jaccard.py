@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, key_filter, lower_ascii, make_room, prepare, shingle_hashes
+from .common import cut, key_filter, lower_ascii, prepare, shingle_hashes, tidy
 from .components import components
 
 SHINGLE, SIMILARITY = 5, (80, 100)
@@ -90,7 +90,6 @@ def _scan(docs: DataFrame, shingle: int) -> DataFrame:
     """Rows of documents (slice is null) and rows of the sketch (doc_id, cls and n are null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make_room()
         sketch, seen = np.zeros(1 << SKETCH_BITS, np.uint32), _Seen()
         fields = [("doc_id", pa.int64()), ("row", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), *((m, pa.int64()) for m in _PARITY), ("slice", pa.int32()), ("counts", pa.binary())]
         schema, any_rows = pa.schema(fields), False
@@ -116,7 +115,7 @@ def _scan(docs: DataFrame, shingle: int) -> DataFrame:
             n = len(parts)
             yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64()) for _ in range(3)], pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.int64()) for _ in _PARITY], pa.array(range(n), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, _SCAN)
+    return docs.mapInArrow(tidy(run), _SCAN)
 
 
 def _levels(scan: DataFrame) -> np.ndarray:
@@ -190,7 +189,7 @@ def _postings(docs: DataFrame, levels: Broadcast, shingle: int, num: int, den: i
                 cols = [pa.array(np.concatenate(x)) for x in (tokens, cls, size, asked)]
                 yield pa.RecordBatch.from_arrays(cols, ["token", "cls", "n", "place"])
 
-    return docs.mapInArrow(run, _POSTINGS)
+    return docs.mapInArrow(tidy(run), _POSTINGS)
 
 
 def _live(postings: DataFrame, num: int, den: int) -> DataFrame:

@@ -15,7 +15,9 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 from operator import itemgetter
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, gapless_rank, keep, prepare
+from .common import cut, gapless_rank, keep, prepare, tidy
+
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
 
 CAPACITY, END_ID = 4096, 1
-#: Words whose ids a worker keeps; the store is emptied when it is full.
+#: Words whose ids a task keeps; the store is emptied when it is full.
 KEPT_WORDS = 600_000
 RANK_CHUNKS = 16
 
@@ -174,10 +179,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.compose = normalizers.NFC().normalize_str
-        self.tokenizer, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        for t in (self.tokenizer, self.whole):
-            t.no_truncation()
-            t.no_padding()
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.odd = re.compile(_unassigned())
         # Words come to it normalized and split, so it need not do that again.
         self.tokenizer.normalizer = normalizers.Sequence([])
@@ -224,6 +228,21 @@ class WordTokenizer:
                 raw = b"".join(self._text(x) if isinstance(x, str) else b"".join(map(self.units.__getitem__, x)) for x in own)
                 yield np.frombuffer(raw, "<u4")
 
+    def forget(self) -> None:
+        """Empties the stores of words."""
+        self.units.clear()
+        self.pieces.clear()
+
+    @cached_property
+    def whole(self) -> Tokenizer:
+        """The library's own tokenizer, which few texts need."""
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(self.path)
+        t.no_truncation()
+        t.no_padding()
+        return t
+
     def _needs_whole(self, text: str) -> bool:
         return bool(_COMPOSES.search(text) and self.odd.search(text))
 
@@ -233,6 +252,7 @@ class WordTokenizer:
 
 
 _LOADED: dict[str, WordTokenizer] = {}
+_STORE = "word tokenizers"
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
@@ -241,7 +261,7 @@ def word_tokenizer(path: str) -> WordTokenizer:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _LOADED[path] = WordTokenizer(path)
-        keep(_LOADED)
+        keep(_STORE, _LOADED)
     return _LOADED[path]
 
 
@@ -268,8 +288,9 @@ def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             names = ("doc_id", "piece", "start", "length", "ids_crc32")
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], list(names))
+        tok.forget()  # else each of an executor's workers, busy or not, would hold words
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _PIECES)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run, _STORE), _PIECES)
 
 
 def _places(made: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, int, int, int]]:

@@ -219,3 +219,30 @@ def test_jaccard_tasks_hold_one_sketch():
         assert got and peak < 1.5 * sketch
     held = np.exp2(np.arange(256) / 4.0) - 1.0
     assert jaccard._middle(level, held) == np.median(held[level]) and jaccard._middle(level[:1001], held) == np.median(held[level[:1001]])
+
+
+def test_packing_leaves_no_words_in_workers(spark):
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    class Docs:
+        sparkSession = spark
+
+        def select(self, *cols):
+            return self
+
+        def mapInArrow(self, run, kind):
+            return run
+
+    path = vocabulary(WORD_VOCABULARY)
+    texts = [None, *(" ".join(words(k, 300)) for k in range(5)), "an unassigned ͸ é"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    got = [r for b in packing.pieces(Docs(), path)(iter([batch, batch])) for r in b.to_pylist()]
+    library = Tokenizer.from_file(path)
+    ids = [np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for t in texts]
+    assert [(r["length"], r["ids_crc32"]) for r in got] == 2 * [(len(x), zlib.crc32(x.tobytes())) for x in ids]
+    left = packing.word_tokenizer(path)
+    assert not left.units and not left.pieces
