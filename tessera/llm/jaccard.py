@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, key_filter, lower_ascii, prepare, shingle_hashes, tidy
+from .common import cut, key_filter, lower_ascii, prepare, release, shingle_hashes, tidy
 from .components import components
 
 SHINGLE, SIMILARITY = 5, (80, 100)
@@ -86,6 +86,15 @@ def _may(a: str, b: str, num: int, den: int) -> Column:
     return fits & (turned * (num + den) <= (F.col(f"{a}_n") + F.col(f"{b}_n")) * (den - num))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts as four planes of bytes, of which a task's small counts leave three empty."""
+    return zlib.compress(counts.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def _scan(docs: DataFrame, shingle: int) -> DataFrame:
     """Rows of documents (slice is null) and rows of the sketch (doc_id, cls and n are null)."""
 
@@ -111,7 +120,7 @@ def _scan(docs: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cls, pa.int64()), pa.array(size, pa.int32()), *[pa.array(maps[:, i]) for i in range(PARITY_WORDS)], pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         if any_rows:
             width = 1 << SLICE_BITS
-            parts = [zlib.compress(sketch[i : i + width].tobytes(), 1) for i in range(0, len(sketch), width)]
+            parts = [_packed(sketch[i : i + width]) for i in range(0, len(sketch), width)]
             n = len(parts)
             yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64()) for _ in range(3)], pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.int64()) for _ in _PARITY], pa.array(range(n), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
@@ -125,7 +134,7 @@ def _levels(scan: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(raw), np.uint32).astype(np.uint64)
+                part = _unpacked(raw).astype(np.uint64)
                 total[k] = total[k] + part if k in total else part
         if total:
             small = [np.minimum(4 * np.log2(v + 1.0), 255).astype(np.uint8).tobytes() for v in total.values()]
@@ -257,6 +266,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: in
     """The pairs (a, b) of classes that are similar enough. The sets are made again from a row of each class."""
     row = lambda x: classes.select(F.col("cls").alias(x), F.col("row").alias(f"{x}_row"))
     named = cut(pairs.join(row("a"), "a").join(row("b"), "b"))
+    del pairs
+    release(docs.sparkSession)
     wanted = named.select("a_row").union(named.select("b_row")).distinct()
     sent = key_filter(wanted)
 
@@ -335,7 +346,9 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle:
     rows = scan.where("slice is null").select("doc_id", "cls", "n")
     classes = scan.where("cls is not null").groupBy("cls").agg(F.min("row").alias("row"), *[F.first(m).alias(m) for m in _PARITY])
     levels = spark.sparkContext.broadcast(_levels(scan))
+    release(spark)
     live = cut(_live(_postings(docs, levels, shingle, num, den), num, den))
+    release(spark)
 
     sizes = live.groupBy("cls").agg(F.count(F.lit(1)).alias("live"), F.first("n").alias("n"), F.first(F.col("place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))).alias("matches"))
     info = cut(sizes.join(classes, "cls"))
@@ -343,9 +356,11 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle:
     # Random members by turns of the 63-bit names.
     turns = [(0x2545F4914F6CDD1D * (i + 1)) & ((1 << 63) - 1) for i in range(HEADS)]
     near = _verified(docs, _stars(lists, info, turns, num, den), info, shingle, num, den)
+    release(spark)
     groups = components(near).select(F.col("id").alias("cls"), F.col("component").alias("grp"))
     info = cut(info.join(groups, "cls", "left").withColumn("group", F.coalesce("grp", "cls")).drop("grp", "live"))
     useful = cut(_useful(lists, info, num, den))
+    release(spark)
     more = _verified(docs, _across(useful, num, den), info, shingle, num, den)
     # Groups are vertices now; what no link joins stays as it is.
     of = lambda x: info.select(F.col("cls").alias(x), F.col("group").alias(f"{x}_group"))

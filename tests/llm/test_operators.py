@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -246,3 +247,28 @@ def test_packing_leaves_no_words_in_workers(spark):
     assert [(r["length"], r["ids_crc32"]) for r in got] == 2 * [(len(x), zlib.crc32(x.tobytes())) for x in ids]
     left = packing.word_tokenizer(path)
     assert not left.units and not left.pieces
+
+
+def test_release_removes_shuffle_files(spark):
+    from tessera.llm.common import cut, release
+
+    files = lambda: sum("shuffle" in f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    kept = cut(spark.range(1000).repartition(3, "id"))
+    assert files() > 0
+    for _ in range(50):
+        release(spark)
+        if not files():
+            break
+        time.sleep(0.2)
+    assert files() == 0 and kept.count() == 1000
+
+
+def test_jaccard_sketches_are_sent_small():
+    import zlib
+
+    import numpy as np
+
+    counts = np.random.default_rng(2).poisson(0.4, 1 << 16).astype(np.uint32)
+    counts[:3] = 2**32 - 1, 70_000, 256
+    assert (jaccard._unpacked(jaccard._packed(counts)) == counts).all()
+    assert len(jaccard._packed(counts)) < 0.75 * len(zlib.compress(counts.tobytes(), 1))
