@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import make_room, prepare
+from .common import make_room, prepare, trim
 
 #: The bound of the training sample: rows of each label, the first by hash of their id.
 TRAIN_ROWS = 2000
@@ -139,6 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("_t_id"), F.col(text_col).alias("_t_text")).where(F.col("_t_text").isNotNull())
     got = {r["_t_id"]: (r["_t_text"], r["_t_label"]) for r in texts.join(F.broadcast(picked), "_t_id").toLocalIterator()}
     sample = [got[k] for k in sorted(got)]
+    trim(docs.sparkSession)
     return train([t for t, _ in sample], [y for _, y in sample])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import html_text, jaccard, line_dedup, packing, quality, shard, suffix_dedup
 from tessera.llm.bpe import ByteBPE
+from tessera.llm.common import cut
 from tessera.llm.queries import BYTE_VOCABULARY, WORD_VOCABULARY, vocabulary
 
 KIND = "doc_id bigint, text string, component_id string, key int"
@@ -272,3 +273,25 @@ def test_jaccard_sketches_are_sent_small():
     counts[:3] = 2**32 - 1, 70_000, 256
     assert (jaccard._unpacked(jaccard._packed(counts)) == counts).all()
     assert len(jaccard._packed(counts)) < 0.75 * len(zlib.compress(counts.tobytes(), 1))
+
+
+def test_a_cut_gives_native_memory_of_the_driver_back(spark):
+    jvm = spark.sparkContext._jvm
+    native, pid = jvm.io.netty.util.internal.PlatformDependent, jvm.java.lang.ProcessHandle.current().pid()
+
+    def held():
+        return next(int(x.split()[1]) for x in open(f"/proc/{pid}/status") if x.startswith("VmRSS"))  # kB
+
+    size, n = 100_000, 1600
+    cut(spark.range(1))  # so that code is loaded
+    chunks = [native.allocateMemory(size) for _ in range(n)]
+    for c in chunks:
+        native.setMemory(c, size, 1)
+    for c in chunks[::2]:
+        native.freeMemory(c)  # every other one, so that none of it lies at the end of the C library's heap
+    before = held()
+    cut(spark.range(1))
+    after = held()
+    for c in chunks[1::2]:
+        native.freeMemory(c)
+    assert before - after > size * n // 2 / 1024 / 2
