@@ -183,15 +183,19 @@ class WordTokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.odd = re.compile(_unassigned())
-        # Words come to it normalized and split, so it need not do that again.
+        # Words come to it normalized and split, many in a text with a space between, so it need not do that again.
         self.tokenizer.normalizer = normalizers.Sequence([])
-        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         spec = json.load(open(path, encoding="utf-8"))
+        # Each word's last token, and no other, has the suffix.
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.last = np.zeros(1 + max(spec["model"]["vocab"].values()), bool)
+        self.last[[i for x, i in spec["model"]["vocab"].items() if x.endswith(suffix)]] = True
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.words = regex.compile(WORDS)
-        self.pieces: dict[str, bytes] = {}  # the ids of a word, as unsigned 32-bit numbers
-        self.units: dict[str, bytes] = {}  # the ids of what stands between white space
+        self.units: dict[str, bytes] = {}  # the ids of what stands between white space and of words of letters in it, as unsigned 32-bit numbers
+        self.pieces: dict[str, bytes] = {}  # the ids of its other parts: digits, signs and endings
 
     def _units(self, text: str) -> list[str]:
         if _COMPOSES.search(text):
@@ -201,17 +205,30 @@ class WordTokenizer:
         # str.split() takes four separators for white space that the library does not.
         return self.words.findall(text) if _SEPARATORS.search(text) else text.split()
 
-    def _learn(self, units: list[str]) -> None:
-        if len(self.units) + len(units) > KEPT_WORDS:
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, by one text for the library: an answer of its own for each word takes longer than its merges."""
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        raw, stops = ids.tobytes(), ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def _learn(self, units: list[str]) -> dict[str, bytes]:
+        """The ids of new units, which the stores keep too."""
+        if len(self.units) + 2 * len(units) > KEPT_WORDS:
             self.units.clear()
         if len(self.pieces) + len(units) > KEPT_WORDS:
             self.pieces.clear()
-        parts = [self.words.findall(u) for u in units]
-        new = list({p for own in parts for p in own if p not in self.pieces})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.pieces[p] = array("I", e.ids).tobytes()
-        for u, own in zip(units, parts, strict=True):
-            self.units[u] = b"".join(map(self.pieces.__getitem__, own))
+        plain = {u for u in units if u.isalpha()}  # one word of letters, which the pattern leaves whole
+        mixed = {u: self.words.findall(u) for u in units if u not in plain}
+        parts = set().union(*mixed.values())
+        out: dict[str, bytes] = {p: ids for p in parts if (ids := (self.units if p.isalpha() else self.pieces).get(p)) is not None}
+        new = [p for p in plain | parts if p not in out]
+        for p, ids in zip(new, self._encode(new), strict=True):
+            out[p] = (self.units if p.isalpha() else self.pieces)[p] = ids
+        for u, own in mixed.items():
+            out[u] = self.units[u] = b"".join(map(out.__getitem__, own))
+        return out
 
     def _sections(self, text: str) -> list[str]:
         return self.cut.split(text) if self.cut and any(x in text for x in self.special) else [text]
@@ -221,11 +238,12 @@ class WordTokenizer:
         for at in range(0, len(texts), LEARN_ROWS):
             split = [[x if x in self.special or self._needs_whole(x) else self._units(x) for x in self._sections(t or "")] for t in texts[at : at + LEARN_ROWS]]
             wanted: set[str] = set().union(*(x for own in split for x in own if not isinstance(x, str)))
-            if missing := wanted.difference(self.units):
-                full = len(self.units) + len(missing) > KEPT_WORDS
-                self._learn(list(wanted if full else missing))
+            # The large store is asked once for each unit of a group, not once for each place.
+            known = dict(zip(wanted, map(self.units.get, wanted), strict=True))
+            if missing := [u for u, ids in known.items() if ids is None]:
+                known |= self._learn(missing)
             for own in split:
-                raw = b"".join(self._text(x) if isinstance(x, str) else b"".join(map(self.units.__getitem__, x)) for x in own)
+                raw = b"".join(self._text(x) if isinstance(x, str) else b"".join(map(known.__getitem__, x)) for x in own)
                 yield np.frombuffer(raw, "<u4")
 
     def forget(self) -> None:

@@ -250,6 +250,51 @@ def test_packing_leaves_no_words_in_workers(spark):
     assert not left.units and not left.pieces
 
 
+def test_packing_asks_stores_and_library_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, *other):
+            Counted.asked += 1
+            return super().get(key, *other)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    class Library:
+        texts = 0
+
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **options):
+            Library.texts += len(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    path = vocabulary(WORD_VOCABULARY)
+    library, own = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    own.units, own.tokenizer = Counted(), Library(own.tokenizer)
+    r = random.Random(8)
+    odd = ["".join(r.choice("abét'sreΣ1²-_, \n\x1c\x85漢🎈ǅʰ<|>") for _ in range(r.randrange(80))) for _ in range(200)]
+    odd += [None, "", "  ", "<|endoftext|>it's<|ENDOFTEXT|>", "''s 's'sabc ###, don't, DON'T 12,3", "a\0b"]
+    expected = [library.encode(t or "", add_special_tokens=False).ids for t in odd]
+    assert [x.tolist() for x in own.batch(odd)] == expected
+    monkeypatch.setattr(packing, "KEPT_WORDS", 40)  # stores that overflow again and again
+    monkeypatch.setattr(packing, "LEARN_ROWS", 3)
+    assert [x.tolist() for x in own.batch(odd)] == expected
+    monkeypatch.undo()
+    own.forget()
+    Counted.asked = Library.texts = 0
+    text = " ".join(words(9, 2000, pool=50)) + " plain letters, again letters"
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert all(x.tolist() == ids for x in own.batch([text] * 100))
+    assert Counted.asked < 500  # about 53 different units, 200400 places
+    assert Library.texts == 1  # not one for each word
+
+
 def test_release_removes_shuffle_files(spark):
     from tessera.llm.common import cut, release
 
