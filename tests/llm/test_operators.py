@@ -71,6 +71,17 @@ def test_suffix_dedup(spark):
         assert got[k] == (len(x), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(x, gone) if not g)).hexdigest())
 
 
+def test_suffix_dedup_at_the_length_of_its_contract(spark):
+    r = random.Random(11)
+    some = lambda n: "".join(r.choice("abcdefghij") + " " * (k % 6 == 5) for k in range(n))[:n]
+    short, long = some(399), some(400)
+    assert len(short.split()) > 50
+    texts = ["A" + short + "B", "C" + short + "D", "E" + long + "F", some(50) + "G" + long]
+    got = {x.doc_id: x for x in suffix_dedup.digests(table(spark, texts)).collect()}
+    assert [got[k].n_removed for k in range(4)] == [0, 0, 400, 400]
+    assert [got[k].text for k in range(4)] == [*texts[:2], "EF", texts[3][:51]]
+
+
 def test_line_dedup(spark):
     line = "a line that is long enough to be compared"
     texts = [line + "\nfirst", "second\n" + line, line + "!", None, "", "first\n\n\nlast", "a line that is long enough t be compared"]
